@@ -73,13 +73,14 @@ def scores(model: NaiveBayesTables, counts: DataFrame, documents: DataFrame) ->
     )
     length = F.coalesce("length", F.lit(0))
     joined = documents.select("id").join(lengths, "id", "left").join(parts, "id", "left")
+    joined = joined.withColumn("classes", classes)
 
     def score(c):
         start = c["log_prior"] - length * (c["log_total"] - F.log(F.lit(model.smoothing)))
         part = F.coalesce(F.try_element_at("parts", c["label"]), F.lit(0.0))
         return F.struct((start + part).alias("score"), c["label"].alias("label"))
 
-    return joined.select("id", F.transform(classes, score).alias("scores"))
+    return joined.select("id", F.transform("classes", score).alias("scores"))
 
 
 def predict(model: NaiveBayesTables, counts: DataFrame, documents: DataFrame) -> DataFrame:
