@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,15 +47,20 @@ def merge_uncommon(
     those with at least the fraction ``min_pct`` of all rows. NULL is a label.
     """
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("_count"))
+    at_most = None
     if max_categories is not None:
+        at_most = max_categories
         kept = counts.orderBy(F.desc("_count"), column).limit(max_categories)
     elif min_count is not None:
         kept = counts.where(F.col("_count") >= min_count)
     elif min_pct is not None:
+        # so many labels can hold that fraction each
+        at_most = math.ceil(1 / min_pct) if min_pct > 0 else None
         total = df.agg(F.count(F.lit(1))).scalar()
         kept = counts.where(F.col("_count") >= total * F.lit(min_pct))
     else:
         raise ValueError("give max_categories, min_count or min_pct")
-    marked = lookup_join(df, kept.select(column, F.lit(True).alias("_kept")), column, "left")
+    kept = kept.select(column, F.lit(True).alias("_kept"))
+    marked = lookup_join(df, kept, column, "left", null_safe=True, at_most=at_most)
     label = F.when(F.col("_kept"), F.col(column)).otherwise(F.lit(default))
     return marked.withColumn(column, label).select(*df.columns)

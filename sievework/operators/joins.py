@@ -12,21 +12,22 @@ from sievework.session import settle
 
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
+TRUSTED_ROWS = 10_000
 HOT_SHARE = 1_000
 
 
-def fits_broadcast(df: DataFrame) -> bool:
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """Whether a settled table is small enough to send to every executor."""
     width = F.lit(0).cast("bigint")
     for field in df.schema.fields:
         if isinstance(field.dataType, (T.StringType, T.BinaryType)):
             width = width + F.coalesce(F.octet_length(field.name), F.lit(0))
         elif isinstance(field.dataType, T.ArrayType):
-            width = width + 8 * F.greatest(F.size(field.name), F.lit(0))
+            width = width + 32 * F.greatest(F.size(field.name), F.lit(0))
         else:
             width = width + 8
     rows, size = df.agg(F.count(F.lit(1)), F.sum(width)).first()
-    return rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
+    return rows <= max_rows and (size or 0) <= BROADCAST_BYTES
 
 
 def hot_keys(df: DataFrame, keys: list[str], share: int = HOT_SHARE) -> list:
@@ -37,32 +38,52 @@ def hot_keys(df: DataFrame, keys: list[str], share: int = HOT_SHARE) -> list:
 
 
 def lookup_join(
-    df: DataFrame, table: DataFrame, keys: str | list[str], how: str = "inner", *, broadcast_rows: int = BROADCAST_ROWS
+    df: DataFrame,
+    table: DataFrame,
+    keys: str | list[str],
+    how: str = "inner",
+    *,
+    null_safe: bool = False,
+    at_most: int | None = None,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Join rows to a lookup table with few rows per key (inner, left, left_semi).
 
-    The table is computed once. A table of proven small size is broadcast. A
-    larger one is shuffled for ordinary keys, while the rows of hot keys, whose
-    lookup rows are bounded in number, are matched by broadcast where they
-    lie, so no task receives a hot key's rows. NULL keys match NULL keys.
+    A table that the caller knows to have ``at_most`` a few thousand rows is
+    broadcast. Any other is computed once and measured: a small one is
+    broadcast, a larger one is shuffled for ordinary keys, while the rows of
+    hot keys, whose lookup rows are bounded in number, are matched by broadcast
+    where they lie, so no task receives a hot key's rows. With ``null_safe``
+    NULL matches NULL.
     """
     keys = [keys] if isinstance(keys, str) else keys
+    if at_most is not None and at_most <= min(broadcast_rows, TRUSTED_ROWS):
+        return _join(df, F.broadcast(table), keys, how, null_safe)
     table = settle(table)
-    if table.count() <= broadcast_rows and fits_broadcast(table):
-        return _null_safe(df, F.broadcast(table), keys, how)
+    if fits_broadcast(table, broadcast_rows):
+        return _join(df, F.broadcast(table), keys, how, null_safe)
     hot = hot_keys(df, keys)
     if not hot:
-        return _null_safe(df, table, keys, how)
-    is_hot = reduce(
-        Column.__or__,
-        [reduce(Column.__and__, [F.col(k).eqNullSafe(F.lit(row[k])) for k in keys]) for row in hot],
-    )
-    return _null_safe(df.where(is_hot), F.broadcast(table.where(is_hot)), keys, how).unionByName(
-        _null_safe(df.where(~is_hot), table.where(~is_hot), keys, how)
+        return _join(df, table, keys, how, null_safe)
+    is_hot = _any_of(keys, hot)
+    return _join(df.where(is_hot), F.broadcast(table.where(is_hot)), keys, how, null_safe).unionByName(
+        _join(df.where(~is_hot), table.where(~is_hot), keys, how, null_safe)
     )
 
 
-def _null_safe(df: DataFrame, table: DataFrame, keys: list[str], how: str) -> DataFrame:
+def _any_of(keys: list[str], rows: list) -> Column:
+    """Whether the keys of a row are among the given ones; never NULL."""
+    if len(keys) == 1:
+        (key,) = keys
+        listed = F.coalesce(F.col(key).isin([r[key] for r in rows if r[key] is not None]), F.lit(False))
+        return listed | F.col(key).isNull() if any(r[key] is None for r in rows) else listed
+    same = [reduce(Column.__and__, [F.col(k).eqNullSafe(F.lit(row[k])) for k in keys]) for row in rows]
+    return reduce(Column.__or__, same)
+
+
+def _join(df: DataFrame, table: DataFrame, keys: list[str], how: str, null_safe: bool) -> DataFrame:
+    if not null_safe:
+        return df.join(table, keys, how)
     right = table.withColumnsRenamed({k: f"_key_{k}" for k in keys})
     same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
     joined = df.join(right, same, how)

@@ -8,20 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.operators.joins import lookup_join
-from sievework.session import settle
+from sievework.session import settle, staged
 
 
 @dataclass(frozen=True)
 class NaiveBayesTables:
-    """``classes (label, log_prior, log_total)`` and ``weights (term, label, weight)``.
+    """``classes (label, log_prior, log_total)`` and ``weights (term, weights)``.
 
     A term's weight in a class is log(count + smoothing) - log(smoothing), so
-    pairs that never occur weigh nothing and are not stored.
+    classes that never see the term weigh nothing and are not stored.
     """
 
     classes: DataFrame
     weights: DataFrame
-    vocabulary: DataFrame
     smoothing: float
 
 
@@ -30,11 +29,10 @@ def fit(counts: DataFrame, labels: DataFrame, smoothing: float = 1.0) -> NaiveBa
 
     Class priors are plain shares of the labelled documents.
     """
-    pairs = settle(
-        counts.join(labels.select("id", "label"), "id").groupBy("term", "label").agg(F.sum("cnt").alias("n"))
+    pairs = staged(
+        counts.join(labels.select("id", "label"), "id").groupBy("term", "label").agg(F.sum("cnt").alias("n")), "pairs"
     )
-    vocabulary = pairs.select("term").distinct()
-    size = vocabulary.agg(F.count(F.lit(1))).scalar()
+    size = pairs.agg(F.count_distinct("term")).scalar()
     documents = labels.agg(F.count(F.lit(1))).scalar()
     totals = pairs.groupBy("label").agg(F.sum("n").alias("total"))
     classes = (
@@ -48,7 +46,8 @@ def fit(counts: DataFrame, labels: DataFrame, smoothing: float = 1.0) -> NaiveBa
         )
     )
     weight = F.log(F.col("n") + smoothing) - F.log(F.lit(smoothing))
-    return NaiveBayesTables(classes, pairs.select("term", "label", weight.alias("weight")), vocabulary, smoothing)
+    weights = pairs.groupBy("term").agg(F.collect_list(F.struct("label", weight.alias("weight"))).alias("weights"))
+    return NaiveBayesTables(settle(classes), weights, smoothing)
 
 
 def scores(model: NaiveBayesTables, counts: DataFrame, documents: DataFrame) -> DataFrame:
@@ -57,23 +56,24 @@ def scores(model: NaiveBayesTables, counts: DataFrame, documents: DataFrame) ->
     Only terms seen in training count. A document without any is scored by the
     class priors. The table of classes is one small row, attached as a scalar.
     """
-    known = lookup_join(counts, model.vocabulary, "term", "left_semi")
-    lengths = known.groupBy("id").agg(F.sum("cnt").alias("length"))
+    known = lookup_join(counts, model.weights, "term", "inner")
+    # the entry without a label adds up to the document's length
+    length_entry = F.struct(F.lit(None).alias("label"), F.lit(1.0).alias("weight"))
     parts = (
-        lookup_join(known, model.weights, "term", "inner")
-        .groupBy("id", "label")
-        .agg(F.sum(F.col("cnt") * F.col("weight")).alias("part"))
+        known.select("id", "cnt", F.explode(F.array_append("weights", length_entry)).alias("w"))
+        .groupBy("id", F.col("w.label").alias("label"))
+        .agg(F.sum(F.col("cnt") * F.col("w.weight")).alias("part"))
         .groupBy("id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("label", "part"))).alias("parts"))
-    )
-    classes = (
-        settle(model.classes)
-        .agg(F.array_sort(F.collect_list(F.struct("label", "log_prior", "log_total"))))
-        .scalar()
+        .agg(
+            F.max(F.when(F.col("label").isNull(), F.col("part"))).alias("length"),
+            F.map_from_entries(
+                F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", "part")))
+            ).alias("parts"),
+        )
     )
-    length = F.coalesce("length", F.lit(0))
-    joined = documents.select("id").join(lengths, "id", "left").join(parts, "id", "left")
-    joined = joined.withColumn("classes", classes)
+    classes = model.classes.agg(F.array_sort(F.collect_list(F.struct("label", "log_prior", "log_total")))).scalar()
+    joined = documents.select("id").join(parts, "id", "left").withColumn("classes", classes)
+    length = F.coalesce("length", F.lit(0.0))
 
     def score(c):
         start = c["log_prior"] - length * (c["log_total"] - F.log(F.lit(model.smoothing)))

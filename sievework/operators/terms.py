@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sievework.functions.stem import IRREGULAR, mark_y, stem_steps
 from sievework.functions.text import ENGLISH_STOP_WORDS, words
 from sievework.operators.joins import lookup_join
-from sievework.session import settle
+from sievework.session import staged
 
 
 def explode_words(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -70,7 +70,7 @@ def bag_of_words(
     counts = count_terms(drop_stop_words(explode_words(df, id_col, text_col), stop_words))
     if lemmas is not None:
         counts = map_terms(counts, lemmas)
-    return stem_terms(settle(counts)) if stem else counts
+    return stem_terms(staged(counts, "terms")) if stem else counts
 
 
 def term_totals(counts: DataFrame) -> DataFrame:

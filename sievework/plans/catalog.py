@@ -17,7 +17,7 @@ from sievework.operators.order_stats import quantiles
 from sievework.plans import models, recipes
 from sievework.plans.experiment import GenreClassifier
 from sievework.plans.prepare import fix_missing, prepare, transform_feature
-from sievework.session import scratch_path, settle
+from sievework.session import scratch_path, settle, staged
 from sievework.sources import arff, files, ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -225,7 +225,7 @@ def csv_ingest(spark, folder):
 # ---- text -----------------------------------------------------------------
 
 def ascii_documents(spark, folder):
-    return filters.ascii_only(table(spark, folder, "documents"), "text")
+    return filters.ascii_only(files.spread_scan(table(spark, folder, "documents")), "text")
 
 
 def ascii_filter(spark, folder):
@@ -246,14 +246,14 @@ def stem_vocabulary(spark, folder):
 
 
 def lemma_counts(spark, folder):
-    counts = settle(raw_counts(spark, folder))
+    counts = staged(raw_counts(spark, folder))
     plural = counts.select("term").distinct().where(F.col("term").endswith("s"))
     lemmas = plural.withColumn("mapped", F.left("term", F.length("term") - 1))
     return terms.map_terms(counts, lemmas)
 
 
 def rare_term_prune(spark, folder):
-    return terms.prune_rare_terms(settle(raw_counts(spark, folder)))
+    return terms.prune_rare_terms(staged(raw_counts(spark, folder)))
 
 
 def bag_join_label(spark, folder):
@@ -271,12 +271,12 @@ def quality_labels(spark, folder):
 
 
 def source_information(spark, folder):
-    scores = mutual_information(settle(raw_counts(spark, folder)), source_labels(spark, folder))
+    scores = mutual_information(staged(raw_counts(spark, folder)), source_labels(spark, folder))
     return scores.select("term", rounded("mi", 8).alias("mi"))
 
 
 def mutual_information_topk(spark, folder):
-    scores = mutual_information(settle(raw_counts(spark, folder)), settle(quality_labels(spark, folder)))
+    scores = mutual_information(staged(raw_counts(spark, folder)), settle(quality_labels(spark, folder)))
     return select_terms(scores, 200).select("term", rounded("mi", 8).alias("mi"))
 
 
@@ -298,8 +298,8 @@ def stratified_folds(spark, folder):
 
 def nb_predictions(spark, folder):
     """Source of the held-out documents as told by naive Bayes on the others."""
-    labels = settle(sampling.train_test_split(source_labels(spark, folder), "id"))
-    counts = settle(raw_counts(spark, folder))
+    labels = settle(sampling.train_test_split(settle(source_labels(spark, folder)), "id"))
+    counts = staged(raw_counts(spark, folder))
     model = naive_bayes.fit(counts, labels.where(~F.col("is_test")).select("id", "label"))
     return naive_bayes.predict(model, counts, labels.where("is_test")).join(labels.select("id", "label"), "id")
 
@@ -335,14 +335,15 @@ def class_distribution(spark, folder):
 
 def quality_experiment(spark, folder) -> GenreClassifier:
     return GenreClassifier(
-        table(spark, folder, "documents"), table(spark, folder, "labels"), "text", "quality", id_col="doc_id"
+        files.spread_scan(table(spark, folder, "documents")), table(spark, folder, "labels"), "text", "quality",
+        id_col="doc_id",
     )
 
 
 def quality_vectors(spark, folder):
     prepared = quality_experiment(spark, folder).prepare(spark)
     vectors = models.vectorize(prepared.documents, prepared.counts, prepared.vocabulary)
-    vectors = settle(models.index_labels(prepared.documents, "label").transform(vectors))
+    vectors = staged(models.index_labels(prepared.documents, "label").transform(vectors))
     return vectors.where(~F.col("is_test")).drop("is_test"), vectors.where("is_test")
 
 
@@ -390,7 +391,7 @@ def top_category_counts(spark, folder):
 
 
 def word_counts(spark, folder):
-    return profile.make_word_cloud(table(spark, folder, "documents"), "text")
+    return profile.make_word_cloud(files.spread_scan(table(spark, folder, "documents")), "text")
 
 
 def summary_stats(spark, folder):

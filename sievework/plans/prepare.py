@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from sievework.operators import binning, categories, missing, profile, scaling
 from sievework.operators.filters import drop_missing
 from sievework.plans import recipes
-from sievework.session import settle
+from sievework.session import staged
 from sievework.sources.files import cast_declared, require_columns, save_parquet, scan_parquet
 
 
@@ -168,18 +168,18 @@ def load_data(spark: SparkSession, config: PrepareConfig, table: DataFrame | Non
 
 
 def prepare(
-    spark: SparkSession, config: PrepareConfig | dict | str, table: DataFrame | None = None, settled: bool | None = None
+    spark: SparkSession, config: PrepareConfig | dict | str, table: DataFrame | None = None, stage: bool | None = None
 ) -> DataFrame:
     """Run a preparation and return the prepared table.
 
-    Fitting bins reads the cleaned columns several times. ``settled`` computes
+    Fitting bins reads the cleaned columns several times. ``stage`` computes
     the cleaned table once before that; by default it does so after a
     preprocessor, which may shuffle, and not for a plain scan.
     """
     config = config if isinstance(config, PrepareConfig) else PrepareConfig.parse(config)
     df = run_steps(load_data(spark, config, table), config.cleaning, CLEANERS)
-    if config.transforming and (config.preprocess is not None if settled is None else settled):
-        df = settle(df)
+    if config.transforming and (config.preprocess is not None if stage is None else stage):
+        df = staged(df, "cleaned")
     return run_steps(df, config.transforming, TRANSFORMS)
 
 

@@ -48,6 +48,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into reliable storage and cut its lineage."""
+    """Compute a small table once into reliable storage and cut its lineage."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def staged(df: DataFrame, name: str = "staged") -> DataFrame:
+    """Compute a large table once: written as parquet to the shared folder and read back.
+
+    Unlike a checkpoint it is compressed, and later scans read only the
+    columns they need.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

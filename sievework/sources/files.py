@@ -35,6 +35,16 @@ def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
     return nan_to_null(spark.read.parquet(path))
 
 
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Deal the rows of a plain scan to all cores if it has fewer splits than cores.
+
+    For heavy work per row, such as tokenising, over a few small files. A large
+    scan has more splits than cores and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def save_parquet(df: DataFrame, path: str) -> None:
     """Write a table as parquet, replacing what was there."""
     df.write.mode("overwrite").parquet(path)
