@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
@@ -36,7 +37,7 @@ def make_density_plot(df: DataFrame, column: str, points: int = 200, margin: flo
     kernel = F.exp(-0.5 * F.pow((F.col("value") - place) / F.lit(width), 2))
     sums = near.groupBy("point").agg(F.sum(kernel).alias("mass"))
     grid = df.sparkSession.range(points).select(F.col("id").cast("int").alias("point"))
-    scale = 1.0 / (n * width * (2 * 3.141592653589793) ** 0.5)
+    scale = 1.0 / (n * width * math.sqrt(2 * math.pi))
     return grid.join(F.broadcast(sums), "point", "left").select(
         place.alias("x"), (F.coalesce("mass", F.lit(0.0)) * F.lit(scale)).alias("density")
     )

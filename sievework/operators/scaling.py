@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 def z_score_norm(df: DataFrame, column: str) -> Column:
     """Distance from the mean in sample standard deviations; NULL if they are zero."""
     stats = df.agg(F.struct(F.avg(column).alias("mean"), F.stddev_samp(column).alias("sd"))).scalar()
-    return (F.col(column) - stats["mean"]) / F.nullif(stats["sd"], F.lit(0.0))
+    return (F.col(column).cast("double") - stats["mean"]) / F.nullif(stats["sd"], F.lit(0.0))
 
 
 def min_max_norm(df: DataFrame, column: str) -> Column:
     """Position between minimum and maximum; 0 everywhere in a constant column."""
-    stats = df.agg(F.struct(F.min(column).alias("low"), F.max(column).alias("high"))).scalar()
-    value = F.col(column)
+    value = F.col(column).cast("double")
+    stats = df.agg(F.struct(F.min(value).alias("low"), F.max(value).alias("high"))).scalar()
     flat = stats["low"] == stats["high"]
     width = F.when(~flat, stats["high"] - stats["low"])
-    return F.when(value.isNotNull() & flat, 0.0).otherwise((value - stats["low"]).cast("double") / width)
+    return F.when(value.isNotNull() & flat, 0.0).otherwise((value - stats["low"]) / width)

@@ -68,9 +68,11 @@ def bag_of_words(
 ) -> DataFrame:
     """Tokenise, drop stop words, map lemmas, stem, and count terms per document."""
     counts = count_terms(drop_stop_words(explode_words(df, id_col, text_col), stop_words))
+    if lemmas is not None or stem:
+        counts = staged(counts, "terms")
     if lemmas is not None:
         counts = map_terms(counts, lemmas)
-    return stem_terms(staged(counts, "terms")) if stem else counts
+    return stem_terms(counts) if stem else counts
 
 
 def term_totals(counts: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from sievework.plans.experiment import GenreClassifier
 from sievework.plans.prepare import fix_missing, prepare, transform_feature
 from sievework.session import scratch_path, settle, staged
 from sievework.sources import arff, files, ingest
+from sievework.streaming.ingest import ingest_new_files, stream_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -99,8 +100,8 @@ def rename_columns(spark, folder):
 
 
 def declared_types(spark, folder):
-    parts = files.cast_declared(table(spark, folder, "part"), {"p_size": "nominal", "p_retailprice": "real"})
-    return parts.select("p_partkey", "p_size", F.col("p_retailprice").cast("double").alias("p_retailprice"))
+    parts = files.cast_declared(table(spark, folder, "part"), {"p_size": "nominal", "p_partkey": "real"})
+    return parts.select("p_partkey", "p_size", "p_retailprice")
 
 
 def year_repair(spark, folder):
@@ -208,18 +209,43 @@ def lang_split_semi_join(spark, folder):
     return joins.keep_known(table(spark, folder, "labels"), text, "doc_id")
 
 
+def union_chunks(spark, folder):
+    """Per-language chunks of the documents put together again."""
+    documents = table(spark, folder, "documents").select("doc_id", "lang", "n_chars")
+    return files.union_chunks([filters.equals(documents, "lang", lang) for lang in ("en", "de", "fr", "es")])
+
+
+def land_csv(spark, folder) -> str:
+    """Documents written as CSV files into a fresh folder."""
+    base = scratch_path(spark, "csv-ingest")
+    landing = table(spark, folder, "documents").repartition(4, "doc_id").write.option("header", True)
+    landing.option("quote", '"').option("escape", '"').option("quoteAll", True).csv(f"{base}/landing")
+    return base
+
+
+def digests(spark, metadata: str, text: str) -> DataFrame:
+    joined = files.scan_parquet(spark, metadata).join(files.scan_parquet(spark, text), "doc_id")
+    return joined.select("doc_id", "n_chars", F.md5("text").alias("digest"))
+
+
+def incremental_ingest(spark, folder):
+    """Documents as arriving CSV files, split by a stream that takes what is new and stops."""
+    base = land_csv(spark, folder)
+    types = {"doc_id": "bigint", "text": "string", "lang": "string", "n_chars": "bigint"}
+    stream = stream_csv(spark, f"{base}/landing", table(spark, folder, "documents").columns, types)
+    ingest_new_files(stream, "lang", "en", "doc_id", "text", f"{base}/out", f"{base}/state")
+    return digests(spark, f"{base}/out/metadata", f"{base}/out/text")
+
+
 def csv_ingest(spark, folder):
     """Documents through CSV: land, scan with pruning and types, filter, split, save, read back."""
-    base = scratch_path(spark, "csv-ingest")
-    landed = table(spark, folder, "documents").write.option("header", True).option("quote", '"')
-    landed.option("escape", '"').option("quoteAll", True).csv(f"{base}/landing")
+    base = land_csv(spark, folder)
     columns = {"doc_id": "bigint", "text": "string", "lang": "string", "n_chars": "bigint"}
     english = filters.equals(files.scan_csv(spark, f"{base}/landing", columns), "lang", "en")
     metadata, text = ingest.split_text(english, "doc_id", "text", drop=("lang",))
     files.save_parquet(metadata, f"{base}/metadata")
     files.append_parquet(text, f"{base}/text")
-    joined = files.scan_parquet(spark, f"{base}/metadata").join(files.scan_parquet(spark, f"{base}/text"), "doc_id")
-    return joined.select("doc_id", "n_chars", F.md5("text").alias("digest"))
+    return digests(spark, f"{base}/metadata", f"{base}/text")
 
 
 # ---- text -----------------------------------------------------------------
@@ -245,6 +271,10 @@ def stem_vocabulary(spark, folder):
     return terms.stem_words(raw_counts(spark, folder).select("term").distinct(), "term")
 
 
+def term_totals(spark, folder):
+    return terms.term_totals(raw_counts(spark, folder))
+
+
 def lemma_counts(spark, folder):
     counts = staged(raw_counts(spark, folder))
     plural = counts.select("term").distinct().where(F.col("term").endswith("s"))
@@ -522,11 +552,14 @@ def queries() -> dict[str, Query]:
         "lang_text": lang_text,
         "lang_split_semi_join": lang_split_semi_join,
         "csv_ingest": csv_ingest,
+        "incremental_ingest": incremental_ingest,
+        "union_chunks": union_chunks,
         "ascii_filter": ascii_filter,
         "term_counts": raw_counts,
         "stem_vocabulary": stem_vocabulary,
         "stemmed_counts": stemmed_counts,
         "lemma_counts": lemma_counts,
+        "term_totals": term_totals,
         "rare_term_prune": rare_term_prune,
         "bag_join_label": bag_join_label,
         "source_information": source_information,

@@ -263,9 +263,9 @@ def density() -> str:
 PREPARED = """
     with recursive typed as (
         select l_partkey, l_linenumber, l_orderkey::varchar as l_orderkey,
-            case when l_quantity not in (1, 2) then l_quantity::float end as l_quantity,
-            case when l_discount <> 0 then l_discount::float end as l_discount,
-            l_tax::float as l_tax, l_extendedprice::float as price,
+            case when l_quantity not in (1, 2) then l_quantity end as l_quantity,
+            case when l_discount <> 0 then l_discount end as l_discount,
+            l_tax, l_extendedprice as price,
             case when l_returnflag <> 'R' then l_returnflag end as l_returnflag, l_linestatus
         from lineitem
     ),
@@ -296,7 +296,7 @@ PREPARED = """
     select l_partkey, l_linenumber, l_orderkey,
         round((l_quantity - mu) / sd, 5) + 0.0 as l_quantity,
         round(l_discount::double, 5) + 0.0 as l_discount,
-        round((l_tax - low)::float::double / (high - low)::float, 5) + 0.0 as l_tax,
+        round((l_tax - low) / (high - low), 5) + 0.0 as l_tax,
         round(rep, 3) + 0.0 as price, l_returnflag,
         case when l_linestatus in (select kept from top) then l_linestatus else 'OTHER' end as l_linestatus
     from binned join reps using (bin), stats
@@ -338,7 +338,7 @@ def oracle_sql() -> dict[str, str]:
         """,
         "rename_columns": "select c_custkey as id, c_mktsegment as segment from customer",
         "declared_types": """
-            select p_partkey, p_size::varchar as p_size, p_retailprice::float::double as p_retailprice from part
+            select p_partkey::double as p_partkey, p_size::varchar as p_size, p_retailprice from part
         """,
         "year_repair": """
             select p_partkey, case when p_size between 1 and 24 then p_size + 2000 else p_size end as p_size from part
@@ -458,6 +458,8 @@ def oracle_sql() -> dict[str, str]:
                 select 1 from documents d where d.doc_id = l.doc_id and d.lang = 'en')
         """,
         "csv_ingest": "select doc_id, n_chars, md5(text) as digest from documents where lang = 'en'",
+        "incremental_ingest": "select doc_id, n_chars, md5(text) as digest from documents where lang = 'en'",
+        "union_chunks": "select doc_id, lang, n_chars from documents",
         "ascii_filter": f"select doc_id, true as ascii from ({ASCII_DOCS})",
         "term_counts": f"with {COUNTS} select * from counts",
         "stem_vocabulary": f"with {COUNTS}, {stems('counts')} select * from stems",
@@ -468,6 +470,7 @@ def oracle_sql() -> dict[str, str]:
                 sum(cnt)::bigint as cnt
             from counts group by all
         """,
+        "term_totals": f"with {COUNTS} select term, sum(cnt)::bigint as total from counts group by term",
         "rare_term_prune": f"""
             with {COUNTS}
             select * from counts where term in (select term from counts group by term having sum(cnt) >= 15)

@@ -109,6 +109,13 @@ PROFILES: dict[str, Callable[..., DataFrame]] = {
 }
 
 
+# Steps that read and replace nothing but their own column.
+OWN_COLUMN = {
+    *(CLEANERS[name] for name in CLEANERS if name != "remove"),
+    *(TRANSFORMS[name] for name in TRANSFORMS if name != "merge_uncommon"),
+}
+
+
 def _named(registry: dict, name: str) -> Callable:
     if name not in registry:
         raise ValueError(f"unknown step {name!r}; known: {sorted(registry)}")
@@ -133,25 +140,23 @@ def make_plot(df: DataFrame, column: str, action: str, args=(), kwargs=None) ->
 def run_steps(df: DataFrame, steps, registry: dict) -> DataFrame:
     """Apply steps in order.
 
-    Neighbouring steps that replace different columns read the same table, so
-    they become one projection and Catalyst merges their statistics into one
-    aggregate. A step on a column already replaced, or one that changes rows,
-    starts from the result so far.
+    Neighbouring steps that read and replace different columns see the same
+    table, so they become one projection and Catalyst merges their statistics
+    into one aggregate. Any other step starts from the result so far.
     """
     pending: dict[str, Column] = {}
     for step in steps:
         operator = _named(registry, step.action)
-        if step.attribute in pending:
+        if pending and (operator not in OWN_COLUMN or step.attribute in pending):
             df, pending = df.withColumns(pending), {}
         require_columns(df, [step.attribute])
         result = operator(df, step.attribute, *step.args, **step.kwargs)
-        if isinstance(result, Column):
+        if not isinstance(result, Column):
+            df = result
+        elif operator in OWN_COLUMN:
             pending[step.attribute] = result
-            continue
-        if pending:
-            df, pending = df.withColumns(pending), {}
-            result = operator(df, step.attribute, *step.args, **step.kwargs)
-        df = result
+        else:
+            df = df.withColumn(step.attribute, result)
     return df.withColumns(pending) if pending else df
 
 
@@ -172,15 +177,15 @@ def prepare(
 ) -> DataFrame:
     """Run a preparation and return the prepared table.
 
-    Fitting bins reads the cleaned columns several times. ``stage`` computes
-    the cleaned table once before that; by default it does so after a
-    preprocessor, which may shuffle, and not for a plain scan.
+    Fitting the steps reads the loaded table several times. ``stage`` computes
+    it once before that; by default this is done after a preprocessor, which
+    may shuffle, and not for a plain scan.
     """
     config = config if isinstance(config, PrepareConfig) else PrepareConfig.parse(config)
-    df = run_steps(load_data(spark, config, table), config.cleaning, CLEANERS)
-    if config.transforming and (config.preprocess is not None if stage is None else stage):
-        df = staged(df, "cleaned")
-    return run_steps(df, config.transforming, TRANSFORMS)
+    df = load_data(spark, config, table)
+    if config.preprocess is not None if stage is None else stage:
+        df = staged(df, "loaded")
+    return run_steps(run_steps(df, config.cleaning, CLEANERS), config.transforming, TRANSFORMS)
 
 
 def profiles(df: DataFrame, config: PrepareConfig) -> dict[str, DataFrame]:

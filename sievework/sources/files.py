@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sievework.functions.numbers import nan_to_null
 
@@ -55,23 +54,22 @@ def append_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-# Declared attribute types.
-ATTRIBUTE_TYPES = {"real": T.FloatType(), "nominal": T.StringType()}
-
-
-def cast_declared(df: DataFrame, types: dict[str, str], strict: bool = True) -> DataFrame:
+def cast_declared(df: DataFrame, types: dict[str, str], strict: bool = True, real: str = "double") -> DataFrame:
     """Cast columns to their declared ``real`` or ``nominal`` type; others pass through.
 
     A value that cannot be converted is an error, or missing if not ``strict``.
+    Real numbers are doubles unless ``real="float"`` asks for 32 bits, which
+    would change large counts.
     """
-    unknown = {t for t in types.values() if t not in ATTRIBUTE_TYPES}
+    # Names of the attribute types.
+    targets = {"real": real, "nominal": "string"}
+    unknown = set(types.values()) - set(targets)
     if unknown:
         raise ValueError(f"unknown attribute types: {sorted(unknown)}")
     require_columns(df, types)
 
     def cast(name: str, kind: str) -> Column:
-        target = ATTRIBUTE_TYPES[kind]
-        return F.col(name).cast(target) if strict else F.col(name).try_cast(target)
+        return F.col(name).cast(targets[kind]) if strict else F.col(name).try_cast(targets[kind])
 
     return df.withColumns({name: cast(name, kind) for name, kind in types.items()})
 

@@ -92,7 +92,11 @@ def test_sample_is_exact_and_repeatable(spark):
 
 def test_sample_with_repeated_keys(spark):
     df = spark.range(300).select((F.col("id") % 3).alias("k"), "id")
-    assert sampling.sample_rows(df, 150, "k").count() == 150
+    sample = [r.id for r in sampling.sample_rows(df, 150, "k").collect()]
+    assert len(sample) == len(set(sample)) == 150
+    copies = df.select("k")
+    drawn = Counter(r.k for r in sampling.sample_rows(copies, 150, "k").collect())
+    assert sum(drawn.values()) == 150 and sorted(drawn.values()) == [50, 100]
 
 
 @pytest.mark.parametrize("rows", [1, 4, 5, 6, 999])

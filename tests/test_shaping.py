@@ -86,7 +86,8 @@ def test_year_repair_and_count(spark):
 def test_declared_types(spark):
     df = spark.createDataFrame([(0, "1.5", 7), (1, "x", 8)], "i int, a string, b int")
     loose = cast_declared(df, {"a": "real", "b": "nominal"}, strict=False)
-    assert dict(loose.dtypes)["a"] == "float" and dict(loose.dtypes)["b"] == "string"
+    assert dict(cast_declared(df, {"b": "real"}, real="float").dtypes)["b"] == "float"
+    assert dict(loose.dtypes)["a"] == "double" and dict(loose.dtypes)["b"] == "string"
     assert values(loose, "a", "b") == [(1.5, "7"), (None, "8")]
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         cast_declared(df, {"a": "real"}).collect()
