@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.functions.numbers import nonnull_count, repair_short_year
+from sievework.functions.numbers import nonnull_count, portable_hash, repair_short_year
 from sievework.functions.text import is_ascii, quoted_tokens, split_parts
 from sievework.operators import filters, joins, metrics, naive_bayes, profile, sampling, terms
 from sievework.operators.categories import count_categories, top_categories
@@ -310,25 +310,29 @@ def mutual_information_topk(spark, folder):
     return select_terms(scores, 200).select("term", rounded("mi", 8).alias("mi"))
 
 
-# ---- sampling -------------------------------------------------------------
+# ---- sampling (by the hash that SQL can repeat) ---------------------------
 
 def sample_n(spark, folder):
-    return sampling.sample_rows(table(spark, folder, "documents"), 150, "doc_id").select("doc_id", "lang")
+    documents = table(spark, folder, "documents")
+    return sampling.sample_rows(documents, 150, "doc_id", hashed_by=portable_hash).select("doc_id", "lang")
 
 
 def split_80_20(spark, folder):
-    return sampling.train_test_split(table(spark, folder, "orders"), "o_orderkey").select("o_orderkey", "is_test")
+    split = sampling.train_test_split(table(spark, folder, "orders"), "o_orderkey", hashed_by=portable_hash)
+    return split.select("o_orderkey", "is_test")
 
 
 def stratified_folds(spark, folder):
-    return sampling.stratified_folds(table(spark, folder, "events").select("event_id", "event_type"), "event_id", "event_type")
+    events = table(spark, folder, "events").select("event_id", "event_type")
+    return sampling.stratified_folds(events, "event_id", "event_type", hashed_by=portable_hash)
 
 
 # ---- models and scores ----------------------------------------------------
 
 def nb_predictions(spark, folder):
     """Source of the held-out documents as told by naive Bayes on the others."""
-    labels = settle(sampling.train_test_split(settle(source_labels(spark, folder)), "id"))
+    labels = settle(source_labels(spark, folder))
+    labels = settle(sampling.train_test_split(labels, "id", hashed_by=portable_hash))
     counts = staged(raw_counts(spark, folder))
     model = naive_bayes.fit(counts, labels.where(~F.col("is_test")).select("id", "label"))
     return naive_bayes.predict(model, counts, labels.where("is_test")).join(labels.select("id", "label"), "id")
