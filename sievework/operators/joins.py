@@ -44,29 +44,34 @@ def lookup_join(
     how: str = "inner",
     *,
     null_safe: bool = False,
+    settled: bool = False,
     at_most: int | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Join rows to a lookup table with few rows per key (inner, left, left_semi).
 
     A table that the caller knows to have ``at_most`` a few thousand rows is
-    broadcast. Any other is computed once and measured: a small one is
-    broadcast, a larger one is shuffled for ordinary keys, while the rows of
-    hot keys, whose lookup rows are bounded in number, are matched by broadcast
-    where they lie, so no task receives a hot key's rows. With ``null_safe``
-    NULL matches NULL.
+    broadcast. Any other is computed once (unless it is ``settled`` already)
+    and measured: a small one is broadcast, a larger one is shuffled for
+    ordinary keys, while the rows of hot keys are matched by broadcast where
+    they lie, so no task receives a hot key's rows. There are less than
+    ``HOT_SHARE`` hot keys; should their lookup rows still be too many, the
+    join is left to adaptive execution. With ``null_safe`` NULL matches NULL.
     """
     keys = [keys] if isinstance(keys, str) else keys
     if at_most is not None and at_most <= min(broadcast_rows, TRUSTED_ROWS):
         return _join(df, F.broadcast(table), keys, how, null_safe)
-    table = settle(table)
+    table = table if settled else settle(table)
     if fits_broadcast(table, broadcast_rows):
         return _join(df, F.broadcast(table), keys, how, null_safe)
     hot = hot_keys(df, keys)
     if not hot:
         return _join(df, table, keys, how, null_safe)
     is_hot = _any_of(keys, hot)
-    return _join(df.where(is_hot), F.broadcast(table.where(is_hot)), keys, how, null_safe).unionByName(
+    hot_table = table.where(is_hot)
+    if not fits_broadcast(hot_table):
+        return _join(df, table, keys, how, null_safe)
+    return _join(df.where(is_hot), F.broadcast(hot_table), keys, how, null_safe).unionByName(
         _join(df.where(~is_hot), table.where(~is_hot), keys, how, null_safe)
     )
 
@@ -91,12 +96,8 @@ def _join(df: DataFrame, table: DataFrame, keys: list[str], how: str, null_safe:
 
 
 def keep_known(df: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """Rows whose key also occurs in ``known`` (a semi join).
-
-    Known keys are made distinct first: repeats are combined before the
-    shuffle, and the join reuses the partitioning of the distinct keys.
-    """
-    return df.join(known.select(key).distinct(), key, "left_semi")
+    """Rows whose key also occurs in ``known`` (a semi join)."""
+    return lookup_join(df, known.select(key).distinct(), key, "left_semi")
 
 
 def attach_label(df: DataFrame, labels: DataFrame, key: str, label: str, suffix: str = "_GENRE") -> DataFrame:
@@ -106,4 +107,4 @@ def attach_label(df: DataFrame, labels: DataFrame, key: str, label: str, suffix:
     them all.
     """
     renamed = labels.select(key, F.col(label).alias(f"{label}{suffix}"))
-    return df.join(renamed.where(F.col(f"{label}{suffix}").isNotNull()), key, "inner")
+    return lookup_join(df, renamed.where(F.col(f"{label}{suffix}").isNotNull()), key, "inner")

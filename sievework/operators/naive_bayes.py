@@ -29,9 +29,9 @@ def fit(counts: DataFrame, labels: DataFrame, smoothing: float = 1.0) -> NaiveBa
 
     Class priors are plain shares of the labelled documents.
     """
-    pairs = staged(
-        counts.join(labels.select("id", "label"), "id").groupBy("term", "label").agg(F.sum("cnt").alias("n")), "pairs"
-    )
+    labels = settle(labels.select("id", "label"))
+    labelled = lookup_join(counts, labels, "id", settled=True)
+    pairs = staged(labelled.groupBy("term", "label").agg(F.sum("cnt").alias("n")), "pairs")
     size = pairs.agg(F.count_distinct("term")).scalar()
     documents = labels.agg(F.count(F.lit(1))).scalar()
     totals = pairs.groupBy("label").agg(F.sum("n").alias("total"))

@@ -306,7 +306,7 @@ def source_information(spark, folder):
 
 
 def mutual_information_topk(spark, folder):
-    scores = mutual_information(staged(raw_counts(spark, folder)), settle(quality_labels(spark, folder)))
+    scores = mutual_information(staged(raw_counts(spark, folder)), quality_labels(spark, folder))
     return select_terms(scores, 200).select("term", rounded("mi", 8).alias("mi"))
 
 
