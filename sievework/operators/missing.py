@@ -20,11 +20,29 @@ def _present(df: DataFrame, column: str) -> Column:
     return F.col(column)
 
 
+def _comparable(values: list, kind: T.DataType) -> list:
+    """The sentinels a column of this type can hold: texts as text, numbers as numbers."""
+    if isinstance(kind, T.StringType):
+        return [str(v) for v in values]
+    if not isinstance(kind, T.NumericType):
+        return list(values)
+    numbers = []
+    for value in values:
+        try:
+            numbers.append(float(value))
+        except ValueError:
+            continue
+    return numbers
+
+
 def blank_sentinels(df: DataFrame, sentinels: dict[str, list]) -> DataFrame:
     """Values that stand for "missing" become NULL, each in its own column."""
-    return df.withColumns(
-        {c: F.when(~F.coalesce(F.col(c).isin(list(v)), F.lit(False)), F.col(c)) for c, v in sentinels.items()}
-    )
+    blanked = {}
+    for column, values in sentinels.items():
+        values = _comparable(values, df.schema[column].dataType)
+        if values:
+            blanked[column] = F.when(~F.coalesce(F.col(column).isin(values), F.lit(False)), F.col(column))
+    return df.withColumns(blanked)
 
 
 def replace_missing_with_value(df: DataFrame, column: str, value) -> Column:

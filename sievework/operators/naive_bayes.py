@@ -56,7 +56,8 @@ def scores(model: NaiveBayesTables, counts: DataFrame, documents: DataFrame) ->
     Only terms seen in training count. A document without any is scored by the
     class priors. The table of classes is one small row, attached as a scalar.
     """
-    known = lookup_join(counts, model.weights, "term", "inner")
+    ids = documents.select("id")
+    known = lookup_join(lookup_join(counts, ids, "id", "left_semi"), model.weights, "term", "inner")
     # the entry without a label adds up to the document's length
     length_entry = F.struct(F.lit(None).alias("label"), F.lit(1.0).alias("weight"))
     parts = (
@@ -72,7 +73,7 @@ def scores(model: NaiveBayesTables, counts: DataFrame, documents: DataFrame) ->
         )
     )
     classes = model.classes.agg(F.array_sort(F.collect_list(F.struct("label", "log_prior", "log_total")))).scalar()
-    joined = documents.select("id").join(parts, "id", "left").withColumn("classes", classes)
+    joined = ids.join(parts, "id", "left").withColumn("classes", classes)
     length = F.coalesce("length", F.lit(0.0))
 
     def score(c):

@@ -18,8 +18,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WINDOW_ROWS = 1 << 18
+WINDOW_ROWS = 1 << 16
 SKETCH_ACCURACY = 10_000
+GRID = 256
 
 
 @dataclass(frozen=True)
@@ -49,11 +50,16 @@ def order_statistics(
     values = df.select(F.col(column).alias("value")).where(value.isNotNull())
     if isinstance(values.schema["value"].dataType, (T.FloatType, T.DoubleType)):
         values = values.where(~F.isnan(value))
-    rows, low, high = values.agg(F.count(value), F.min(value), F.max(value)).first()
+    grid = F.percentile_approx(value, [i / GRID for i in range(GRID + 1)], SKETCH_ACCURACY)
+    rows, low, high, grid = values.agg(F.count(value), F.min(value), F.max(value), grid).first()
     if rows == 0:
         return 0, {}
+    ranks = tuple(sorted(set(pick_ranks(rows))))
+    # the first look at all rows also tells roughly where each rank lies
+    places = [GRID * (rank + 0.5) / rows for rank in ranks]
+    splits = {grid[i] for place in places for i in (int(place), min(int(place) + 1, GRID))}
     found: dict[int, object] = {}
-    open_spans = [Span(low, high, 0, rows, tuple(sorted(set(pick_ranks(rows)))))]
+    open_spans = [Span(low, high, 0, rows, ranks)]
     while True:
         for span in open_spans:
             if span.low == span.high:
@@ -62,7 +68,9 @@ def order_statistics(
         wide = [s for s in open_spans if s.rows > window_rows]
         if not wide:
             break
-        open_spans = [s for s in open_spans if s.rows <= window_rows] + _refine(values, wide)
+        narrow = [s for s in open_spans if s.rows <= window_rows]
+        open_spans = narrow + _refine(values, wide, splits or _propose(values, wide))
+        splits = set()
     if open_spans:
         found.update(_pick(values, open_spans))
     return rows, found
@@ -75,8 +83,8 @@ def _inside(values: DataFrame, spans: list[Span]) -> DataFrame:
     return values.where(reduce(Column.__or__, within)).withColumn("span", number)
 
 
-def _refine(values: DataFrame, spans: list[Span]) -> list[Span]:
-    """Replace each span by the exactly counted cells that hold its ranks."""
+def _propose(values: DataFrame, spans: list[Span]) -> set:
+    """Split values just below and above each rank, by a sketch of each span."""
     margin = 2.0 / SKETCH_ACCURACY
     sketches = []
     for i, span in enumerate(spans):
@@ -84,20 +92,26 @@ def _refine(values: DataFrame, spans: list[Span]) -> list[Span]:
         shares = sorted({min(1.0, max(0.0, m + d)) for m in middle for d in (-margin, margin)})
         in_span = F.when(F.col("span") == i, F.col("value"))
         sketches.append(F.percentile_approx(in_span, shares, SKETCH_ACCURACY).alias(f"s{i}"))
-    inside = _inside(values, spans)
-    proposed = inside.agg(*sketches).first()
-    splits = {split for splits in proposed for split in splits}
+    splits = {split for found in _inside(values, spans).agg(*sketches).first() for split in found}
     # a midpoint guarantees progress whatever the sketch proposes
-    splits |= {span.low + (span.high - span.low) / 2 for span in spans} if isinstance(
-        spans[0].low, float
-    ) else {span.low + (span.high - span.low) // 2 for span in spans if isinstance(span.low, int)}
+    for span in spans:
+        if isinstance(span.low, float):
+            splits.add(span.low + (span.high - span.low) / 2)
+        elif isinstance(span.low, int):
+            splits.add(span.low + (span.high - span.low) // 2)
+    return splits
+
+
+def _refine(values: DataFrame, spans: list[Span], splits: set) -> list[Span]:
+    """Replace each span by the exactly counted cells that hold its ranks."""
     # each split value gets a cell of its own, so a heavy duplicate is settled at once
     cell = F.lit(0)
     for split in sorted(splits):
         split = F.lit(split)
         cell = cell + (F.col("value") >= split).cast("int") + (F.col("value") > split).cast("int")
     cells = (
-        inside.groupBy("span", cell.alias("cell"))
+        _inside(values, spans)
+        .groupBy("span", cell.alias("cell"))
         .agg(F.count("value").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
         .orderBy("span", "cell")
         .collect()

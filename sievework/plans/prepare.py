@@ -161,14 +161,13 @@ def run_steps(df: DataFrame, steps, registry: dict) -> DataFrame:
 
 
 def load_data(spark: SparkSession, config: PrepareConfig, table: DataFrame | None = None) -> DataFrame:
-    """The raw table: scanned, reshaped, cast to declared types, sentinels blanked, renamed."""
+    """The raw table: scanned, reshaped, sentinels blanked, cast to declared types, renamed."""
     df = scan_parquet(spark, config.raw_path) if table is None else table
     if config.preprocess is not None:
         df = _named(PREPROCESSORS, config.preprocess)(df)
+    require_columns(df, config.attributes)
+    df = missing.blank_sentinels(df, {n: list(a.missing_values) for n, a in config.attributes.items()})
     df = cast_declared(df, {name: a.type for name, a in config.attributes.items()})
-    sentinels = {n: list(a.missing_values) for n, a in config.attributes.items() if a.missing_values}
-    if sentinels:
-        df = missing.blank_sentinels(df, sentinels)
     return df.withColumnsRenamed({n: a.rename for n, a in config.attributes.items() if a.rename})
 
 

@@ -80,3 +80,11 @@ def test_sentinels_blank_only_their_column(people):
     assert column(df, "age") == [36, None, 36, None, None]
     assert column(df, "name") == [r[1] for r in PEOPLE]
     assert df.where(F.col("name") == "Ellen").count() == 1
+
+
+def test_sentinels_of_another_type(spark):
+    df = spark.createDataFrame([(0, "N/A", 1), (1, "2", 2), (2, None, 9)], "i int, t string, n int")
+    blanked = blank_sentinels(df, {"t": ["N/A", 2], "n": ["N/A", 9]})
+    assert column(blanked, "t") == [None, None, None]
+    assert column(blanked, "n") == [1, 2, None]
+    assert column(blank_sentinels(df, {"t": []}), "t") == ["N/A", "2", None]

@@ -123,3 +123,12 @@ def test_unknown_names(spark):
 def test_preprocessor_is_optional(spark):
     config = {"attributes": {"v": {"type": "real"}}}
     assert p.prepare(spark, config, spark.createDataFrame([(4,)], "v int")).first().v == 4.0
+
+
+def test_sentinels_are_blanked_before_the_cast(spark):
+    config = {
+        "attributes": {"v": {"type": "real", "missing_values": ["N/A"]}},
+        "cleaning": [{"attribute": "v", "missing_strategy": "replace_missing_with_median"}],
+    }
+    df = spark.createDataFrame([("1",), ("N/A",), ("4",), ("2",)], "v string")
+    assert sorted(r.v for r in p.prepare(spark, config, df).collect()) == [1.0, 2.0, 2.0, 4.0]
