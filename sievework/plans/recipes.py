@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from sievework.functions.numbers import nonnull_count, repair_short_year
 from sievework.functions.text import quoted_tokens, split_parts
