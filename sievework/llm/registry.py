@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sievework.llm import quality_rules
+from sievework.llm import bpe, quality_rules
 
 QUERIES = {
+    "op4_bpe": bpe.op4_bpe,
     "op6_quality_rules": quality_rules.op6_quality_rules,
 }
 SQL: dict[str, str] = {}
