@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from sievework.llm import bpe, quality_rules
+from sievework.llm import bpe, line_dedup, quality_rules, token_store
 
 QUERIES = {
     "op4_bpe": bpe.op4_bpe,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op9_token_store": token_store.op9_token_store,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 SQL: dict[str, str] = {}
 

@@ -7,7 +7,10 @@ or window of a text costs a few array operations.
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -106,5 +109,18 @@ def by_row(key: str, text: str = "text") -> tuple[Column, Column]:
     )
 
 
+def ship(spark) -> None:
+    """Send this package to Python workers once a session, for those that cannot import it."""
+    if spark.conf.get("spark.sievework.shipped", "") != spark.sparkContext.applicationId:
+        root = Path(__file__).resolve().parents[1]
+        packed = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
+        with zipfile.ZipFile(packed, "w") as file:
+            for source in sorted(root.rglob("*.py")):
+                file.write(source, source.relative_to(root.parent))
+        spark.sparkContext.addPyFile(str(packed))
+        spark.conf.set("spark.sievework.shipped", spark.sparkContext.applicationId)
+
+
 def read(spark, folder: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet")
