@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sievework.llm import bpe, line_dedup, quality_rules, token_store
+from sievework.llm import bpe, line_dedup, ngram_join, quality_rules, token_store
 
 QUERIES = {
+    "op2_ngram_join": ngram_join.op2_ngram_join,
     "op4_bpe": bpe.op4_bpe,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op9_token_store": token_store.op9_token_store,
