@@ -32,9 +32,9 @@ from sievework.session import scratch_path, staged
 DICTIONARY_DOCS = 1_000
 DICTIONARY_IDS = 4_096
 DICTIONARY_BYTES = 64 << 10
-BLOCK_BYTES = 4 << 20
-SHARD_BYTES = 32 << 20
-MOST_SHARDS = 4_096
+BLOCK_BYTES = 256 << 10
+SHARD_BYTES = 16 << 20
+MOST_SHARDS = 1 << 16
 LEVEL = 3
 
 
@@ -120,23 +120,25 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_i
          ("n_tokens", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("payload", pa.binary())]
     )
     schema = "shard int, block int, start bigint, dictionary_hash string, doc_ids array<bigint>, n_tokens array<bigint>, offsets array<bigint>, payload binary"
-    ordered.select("doc_id", "n_tokens", "shard", "frame").mapInArrow(blocks, schema).write.option("compression", "none").parquet(f"{path}/blocks")
+    ordered.select("doc_id", "n_tokens", "shard", "frame").mapInArrow(blocks, schema).write.option("compression", "none").option("parquet.block.size", 8 << 20).parquet(f"{path}/blocks")
     about = spark.range(1).select(F.lit(digest).alias("hash"), F.lit(bytearray(trained)).alias("dictionary"), F.lit(width).alias("width"), F.lit(end_id).cast("int").alias("end_id"))
     about.coalesce(1).write.parquet(f"{path}/dictionary")
     return path
 
 
-def read_store(spark, path: str, only: list[int] | None = None) -> DataFrame:
-    """``doc_id, start, ids`` of all documents, or of those in a given list; ``start`` counts all ids before."""
+def read_store(spark, path: str, only: list[int] | None = None, digest: bool = False) -> DataFrame:
+    """``doc_id, start, ids`` of all documents, or of those in a given list; ``start`` counts all ids before.
+
+    With ``digest`` the ids give way to their number and the CRC-32 of them as little-endian 32-bit integers.
+    """
     about = spark.read.parquet(f"{path}/dictionary").first()
     blocks = spark.read.parquet(f"{path}/blocks")
     per_shard = blocks.groupBy("shard").agg(F.sum(F.aggregate("n_tokens", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("n"))
-    totals = {r["shard"]: r["n"] for r in per_shard.collect()}  # at most MOST_SHARDS rows
-    before, bases = 0, []
-    for shard in range(max(totals, default=-1) + 1):
-        bases.append(F.lit(before).cast("bigint"))
-        before += totals.get(shard, 0)
-    base = F.element_at(F.array(*bases), F.col("shard") + 1) if bases else F.lit(0).cast("bigint")
+    bases, before = [], 0
+    for shard, n in sorted(per_shard.collect()):  # at most MOST_SHARDS rows
+        bases.append((shard, before))
+        before += n
+    base = F.broadcast(spark.createDataFrame(bases, "shard int, base bigint"))
     hash_, trained, width = about["hash"], bytes(about["dictionary"]), about["width"]
     wanted = None if only is None else set(only)
     if wanted is not None:
@@ -144,37 +146,33 @@ def read_store(spark, path: str, only: list[int] | None = None) -> DataFrame:
 
     def documents(batches):
         loose = zstandard.ZstdDecompressor(dict_data=_dictionary(trained))
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["dictionary_hash"] != hash_:
-                    raise ValueError("a block was written with another dictionary")
-                payload, offsets, start = memoryview(row["payload"]), row["offsets"], row["start"]
-                docs, starts, ids = [], [], []
-                for i, (doc, n) in enumerate(zip(row["doc_ids"], row["n_tokens"])):
-                    if wanted is None or doc in wanted:
-                        frame = payload[offsets[i] : offsets[i + 1]]
-                        docs.append(doc)
-                        starts.append(start)
-                        ids.append(np.frombuffer(loose.decompress(frame), f"<u{width}").astype(np.int32))
-                    start += n
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                flat = np.concatenate([np.zeros(0, np.int32), *ids])
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), lists], ["doc_id", "start", "ids"])
-
-    based = blocks.select("dictionary_hash", "doc_ids", "n_tokens", "offsets", "payload", (F.col("start") + base).alias("start"))
-    return based.mapInArrow(documents, "doc_id bigint, start bigint, ids array<int>")
+        for batch in W.pieces(batches, 1):
+            row = batch.to_pylist()[0]
+            if row["dictionary_hash"] != hash_:
+                raise ValueError("a block was written with another dictionary")
+            payload, offsets, start = memoryview(row["payload"]), row["offsets"], row["start"]
+            docs, starts, ids = [], [], []
+            for i, (doc, n) in enumerate(zip(row["doc_ids"], row["n_tokens"])):
+                if wanted is None or doc in wanted:
+                    frame = payload[offsets[i] : offsets[i + 1]]
+                    docs.append(doc)
+                    starts.append(start)
+                    ids.append(np.frombuffer(loose.decompress(frame), f"<u{width}"))
+                start += n
+            sizes = [len(x) for x in ids]
+            columns = [pa.array(docs, pa.int64()), pa.array(starts, pa.int64())]
+            if digest:
+                columns += [pa.array(sizes, pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())]
+            else:
+                ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+                columns += [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]).astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    names = ["doc_id", "start", *(["n_tokens", "ids_crc32"] if digest else ["ids"])]
+    based = blocks.join(base, "shard").select("dictionary_hash", "doc_ids", "n_tokens", "offsets", "payload", (F.col("start") + F.col("base")).alias("start"))
+    return based.mapInArrow(documents, "doc_id bigint, start bigint, " + ("n_tokens bigint, ids_crc32 bigint" if digest else "ids array<int>"))
 
 
 def op9_token_store(spark, folder: str, vocabulary: str | None = None) -> DataFrame:
-    path = write_store(W.read(spark, folder, "documents"), scratch_path(spark, "tokens"), vocabulary)
-
-    def checks(batches):
-        for batch in batches:
-            lists = batch.column(2)
-            flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-            crc = [zlib.crc32(flat[a:b].astype("<u4").tobytes()) for a, b in zip(ends, ends[1:])]
-            sizes = pa.array(np.diff(ends).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return read_store(spark, path).mapInArrow(checks, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    """Writes the store of ``documents`` and returns what its files say of each document."""
+    return read_store(spark, write_store(W.read(spark, folder, "documents"), scratch_path(spark, "tokens"), vocabulary), digest=True)
