@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from sievework.llm import bpe, line_dedup, ngram_join, quality_rules, token_store
+import corpus_pipeline
+from sievework.llm import bpe, decontaminate, line_dedup, ngram_join, quality_rules, token_store
 
 QUERIES = {
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op4_bpe": bpe.op4_bpe,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op9_token_store": token_store.op9_token_store,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 SQL: dict[str, str] = {}
 
