@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sievework.llm import bpe, decontaminate, line_dedup, ngram_join, quality_rules, token_store
+from sievework.llm import bpe, decontaminate, line_dedup, ngram_join, pii, quality_rules, token_store
 
 QUERIES = {
     "op2_ngram_join": ngram_join.op2_ngram_join,
+    "op3_pii": pii.op3_pii,
     "op4_bpe": bpe.op4_bpe,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_quality_rules": quality_rules.op6_quality_rules,
