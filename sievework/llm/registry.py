@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sievework.llm import bpe, decontaminate, line_dedup, ngram_join, pii, quality_rules, secret_scan, token_store
+from sievework.llm import bpe, decontaminate, html_text, line_dedup, ngram_join, pii, quality_rules, secret_scan, token_store
 
 QUERIES = {
     "op2_ngram_join": ngram_join.op2_ngram_join,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_bpe": bpe.op4_bpe,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_html_text": html_text.op7_html_text,
     "op8_secret_scan": secret_scan.op8_secret_scan,
     "op9_token_store": token_store.op9_token_store,
     "op10_line_dedup": line_dedup.op10_line_dedup,
