@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sievework.llm import bpe, decontaminate, html_text, line_dedup, ngram_join, pii, quality_rules, secret_scan, token_store
+from sievework.llm import bpe, decontaminate, html_text, line_dedup, ngram_join, pii, quality_rules, secret_scan, suffix_dedup, token_store
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_pii": pii.op3_pii,
     "op4_bpe": bpe.op4_bpe,
