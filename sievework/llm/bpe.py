@@ -241,29 +241,16 @@ def encoder(vocabulary: str) -> Encoder:
     return Encoder(vocabulary)
 
 
-def in_groups(batches: Iterator[pa.RecordBatch], text_column: int, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices whose texts hold about ``most_bytes`` together; one longer text is a slice of its own."""
-    import pyarrow.compute as pc
-
-    for batch in batches:
-        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_column)), 0).to_numpy(zero_copy_only=False))
-        at = 0
-        while at < batch.num_rows:
-            before = sizes[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(sizes, before + most_bytes, "right")))
-            yield batch.slice(at, to - at)
-            at = to
-
-
 def with_tokens(docs: DataFrame, vocabulary: str | None = None, text: str = "text") -> DataFrame:
     """The rows of ``docs`` as a struct ``row``, the ids of their texts and the text decoded from them."""
+    W.ship(docs.sparkSession)
     vocabulary = vocabulary or default_vocabulary()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("_body"))
     schema = f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>, decoded string"
 
     def encode(batches):
         coder = encoder(vocabulary)
-        for batch in in_groups(batches, 1):
+        for batch in W.in_groups(batches, 1):
             ids = coder.encode(batch.column(1).to_pylist())
             ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
             flat = pa.array(np.concatenate([np.zeros(0, np.uint32), *ids]).astype(np.int32))
@@ -280,13 +267,14 @@ def op4_bpe(spark, folder: str, vocabulary: str | None = None) -> DataFrame:
 
 
 def token_digests(docs: DataFrame, vocabulary: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    W.ship(docs.sparkSession)
     vocabulary = vocabulary or default_vocabulary()
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("_body"))
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def digest(batches):
         coder = encoder(vocabulary)
-        for batch in in_groups(batches, 1):
+        for batch in W.in_groups(batches, 1):
             ids = coder.encode(batch.column(1).to_pylist())
             sha = lambda data: hashlib.sha256(data).hexdigest()
             yield pa.RecordBatch.from_arrays(

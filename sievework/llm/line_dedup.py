@@ -30,7 +30,7 @@ from sievework.session import staged
 
 MIN_WORDS = 8
 _PLACE = 0xA0761D6478BD642F
-_ROWS = 4_000_000
+_ROWS = 1_000_000
 
 
 def _tag(hashes, number, kind: int) -> np.ndarray:
@@ -39,42 +39,52 @@ def _tag(hashes, number, kind: int) -> np.ndarray:
     return W.mix(hashes ^ W.mix(spread))
 
 
-def _half_keys(sums: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of both halves, read as a line of n words and as the longer partner of one of n - 1."""
+def _half_keys(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """Four keys per word range: its halves as a line of n words, and as the longer partner of a line of n - 1."""
     keys = []
-    for m in (n, n - 1):
-        if m >= MIN_WORDS:
-            half = m // 2
-            ends = np.array([half, n]), np.array([0, n - (m - half)])
-            hashes = W.range_hashes(sums, ends[1], ends[0])
-            keys += [_tag(hashes[:1], m, 1), _tag(hashes[1:], m, 2)]
-    return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-
-
-def _line_words(text: str):
-    """(line number, word hashes) of every line with words."""
-    for number, line in enumerate(text.split("\n")):
-        hashes = W.word_hashes(W.raw(line))[2]
-        if len(hashes):
-            yield number, hashes
+    for less in (0, 1):
+        m = end - start - less
+        half = m // 2
+        keys.append(_tag(W.range_hashes(sums, start, start + half), m, 1))
+        keys.append(_tag(W.range_hashes(sums, end - (m - half), end), m, 2))
+    return keys
+
+
+class _Lines:
+    """The lines with words of some texts: text index, line number, and the range of their words."""
+
+    def __init__(self, texts: list[str | None]):
+        whole = [(t or "").encode() for t in texts]
+        data = np.frombuffer(b"\n".join(whole), np.uint8)
+        begin, _, self.words = W.word_hashes(data)
+        self.sums = W.prefix_sums(self.words)
+        breaks = np.flatnonzero(data == 10)
+        at = np.cumsum([0, *[len(t) + 1 for t in whole]])[:-1]
+        line = np.searchsorted(breaks, begin)
+        self.start = np.flatnonzero(np.diff(line, prepend=-1))
+        self.end = np.append(self.start[1:], len(line))[: len(self.start)]
+        self.text = np.searchsorted(at, begin[self.start], "right") - 1
+        self.number = line[self.start] - np.searchsorted(breaks, at)[self.text]
+
+    def halves(self) -> tuple[np.ndarray, np.ndarray]:
+        """The half keys, a row per line, and which of them count."""
+        n = self.end - self.start
+        return np.stack(_half_keys(self.sums, self.start, self.end), 1), np.stack([n >= MIN_WORDS] * 2 + [n > MIN_WORDS] * 2, 1)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     def lines(batches):
-        for batch in W.pieces(batches):
-            out = []
-            for doc, tie, text in zip(*[c.to_pylist() for c in batch.columns]):
-                for number, hashes in _line_words(text or ""):
-                    sums = W.prefix_sums(hashes)
-                    whole = W.range_hashes(sums, np.array([0]), np.array([len(hashes)]))
-                    other = W.range_hashes(W.prefix_sums(W.mix(hashes)), np.array([0]), np.array([len(hashes)]))
-                    halves = W.signed(_half_keys(sums, len(hashes))).tolist()
-                    out.append((doc, tie, number, int(W.signed(whole)[0]), int(W.signed(other)[0]), halves))
-            columns = list(zip(*out)) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
-
-    names = ["_doc", "_text", "line", "h", "g", "halves"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        for batch in W.in_groups(batches, 2, 1 << 20):
+            found = _Lines(batch.column(2).to_pylist())
+            whole = W.range_hashes(found.sums, found.start, found.end)
+            other = W.range_hashes(W.prefix_sums(W.mix(found.words)), found.start, found.end)
+            keys, real = found.halves()
+            ends = np.concatenate(([0], np.cumsum(real.sum(1)))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(W.signed(keys[real])))
+            row = pa.array(found.text)
+            columns = [batch.column(0).take(row), batch.column(1).take(row), pa.array(found.number.astype(np.int32)), pa.array(W.signed(whole)), pa.array(W.signed(other)), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["_doc", "_text", "line", "h", "g", "halves"])
+
     return docs.mapInArrow(lines, "_doc bigint, _text bigint, line int, h bigint, g bigint, halves array<bigint>")
 
 
@@ -82,41 +92,46 @@ def _deletions(docs: DataFrame) -> DataFrame:
     """Keys of the listed lines: 0 a deletion with its place, 1 the whole line, 2 a deletion."""
 
     def variants(batches):
-        for batch in W.pieces(batches, 32):
+        for batch in W.in_groups(batches, 2, 1 << 18):
+            docs, ties, texts, listed = (c.to_pylist() for c in batch.columns)
+            wanted = {(t, x["line"]): np.array(x["halves"], np.int64).view(np.uint64) for t, xs in enumerate(listed) for x in xs}
+            found = _Lines(texts)
+            keys_of, real = found.halves()
             out: list[list[np.ndarray]] = [[], [], [], [], []]
-            for doc, tie, text, listed in zip(*[c.to_pylist() for c in batch.columns]):
-                wanted = {x["line"]: x["halves"] for x in listed}
-                for number, hashes in _line_words(text or ""):
-                    if number not in wanted:
-                        continue
-                    n, sums = len(hashes), W.prefix_sums(hashes)
-                    live = np.isin(_half_keys(sums, n), np.array(wanted[number], np.int64).view(np.uint64))
-                    where = np.zeros(n, bool)
-                    for at, m in enumerate([m for m in (n, n - 1) if m >= MIN_WORDS]):
-                        where[m // 2 :] |= live[2 * at]  # the first half is shared: the edit lies behind it
-                        where[: n - (m - m // 2)] |= live[2 * at + 1]
-                    j = np.flatnonzero(where)
-                    before = W.range_hashes(sums, np.zeros(len(j), int), j)
-                    after = W.range_hashes(sums, j + 1, np.full(len(j), n))
-                    gone = W.mix(before * np.uint64(3) + after)
-                    whole = _whole_as_deletion(sums, n)
-                    keys = [_tag(gone, n * 1_000_003 + j, 3), _tag(whole[0], whole[1], 4), _tag(gone, j, 4)]
-                    kinds = [np.zeros(len(j), np.int8), np.ones(len(whole[0]), np.int8), np.full(len(j), 2, np.int8)]
-                    for key, kind in zip(keys, kinds):
-                        for column, values in zip(out, (W.signed(key), kind, np.full(len(key), doc), np.full(len(key), tie), np.full(len(key), number, np.int32))):
-                            column.append(values)
+            for at, place in enumerate(zip(found.text.tolist(), found.number.tolist())):
+                if place not in wanted:
+                    continue
+                s, e = int(found.start[at]), int(found.end[at])
+                n = e - s
+                live = np.isin(keys_of[at], wanted[place]) & real[at]
+                where = np.zeros(n, bool)
+                for less in (0, 1):
+                    m = n - less
+                    if live[2 * less]:
+                        where[m // 2 :] = True  # the first half is shared: the edit lies behind it
+                    if live[2 * less + 1]:
+                        where[: n - (m - m // 2)] = True
+                j = np.flatnonzero(where)
+                gone = _without(found.sums, s, e, j, 1)
+                every = np.arange(n + 1)
+                keys = np.concatenate((_tag(gone, n * 1_000_003 + j, 3), _tag(_without(found.sums, s, e, every, 0), every, 4), _tag(gone, j, 4)))
+                out[0].append(W.signed(keys))
+                out[1].append(np.repeat(np.array([0, 1, 2], np.int8), (len(j), n + 1, len(j))))
+                for column, value in zip(out[2:], (docs[place[0]], ties[place[0]], place[1])):
+                    column.append(np.full(len(keys), value, np.int64))
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["key", "kind", "_doc", "_text", "line"])
+                columns = [np.concatenate(c) for c in out]
+                columns[4] = columns[4].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "kind", "_doc", "_text", "line"])
 
     return docs.mapInArrow(variants, "key bigint, kind tinyint, _doc bigint, _text bigint, line int")
 
 
-def _whole_as_deletion(sums: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The whole line as it looks with one more word taken out at each place."""
-    at = np.arange(n + 1)
-    before = W.range_hashes(sums, np.zeros(n + 1, int), at)
-    after = W.range_hashes(sums, at, np.full(n + 1, n))
-    return W.mix(before * np.uint64(3) + after), at
+def _without(sums: np.ndarray, start: int, end: int, at: np.ndarray, words: int) -> np.ndarray:
+    """Hashes of a line with ``words`` words taken out at each place; with none taken out, a hole lies there."""
+    before = W.range_hashes(sums, np.full(len(at), start), start + at)
+    after = W.range_hashes(sums, start + at + words, np.full(len(at), end))
+    return W.mix(before * np.uint64(3) + after)
 
 
 def within_one_edit(a: list[bytes], b: list[bytes]) -> bool:

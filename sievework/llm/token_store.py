@@ -50,7 +50,7 @@ def train_dictionary(docs: DataFrame, vocabulary: str, width: int, key: str, tex
 
     def sample(batches):
         coder = bpe.encoder(vocabulary)
-        for batch in bpe.in_groups(batches, 0):
+        for batch in W.in_groups(batches, 0):
             found = [_serial(ids[:DICTIONARY_IDS], width) for ids in coder.encode(batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["ids"])
 
@@ -67,6 +67,7 @@ def _dictionary(data: bytes):
 
 def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int | None = 0, key: str = "doc_id", text: str = "text") -> str:
     """Encode all documents and write their store; returns ``path``."""
+    W.ship(docs.sparkSession)
     spark, vocabulary = docs.sparkSession, vocabulary or bpe.default_vocabulary()
     width = 2 if bpe.encoder(vocabulary).size <= 1 << 16 else 4
     trained = train_dictionary(docs, vocabulary, width, key, text)
@@ -76,7 +77,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_i
     def frames(batches):
         coder = bpe.encoder(vocabulary)
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(trained), write_content_size=True)
-        for batch in bpe.in_groups(batches, 2):
+        for batch in W.in_groups(batches, 2):
             ids = [np.concatenate((x, end)) for x in coder.encode(batch.column(2).to_pylist())]
             found = [press.compress(_serial(x, width)) for x in ids]
             yield pa.RecordBatch.from_arrays(
