@@ -42,13 +42,13 @@ def bin_index(column: str | Column, cuts: list) -> Column:
     """Zero-based bin of a value among ascending inner boundaries (``lo <= x < hi``).
 
     The boundaries ascend, so the bin is the number of boundaries not above
-    the value; NULL has no bin.
+    the value; NULL and NaN have no bin.
     """
     column = F.col(column) if isinstance(column, str) else column
     index = F.lit(0)
     for cut in cuts:
         index = index + (column >= cut).cast("int")
-    return F.when(column.isNotNull(), index)
+    return F.when(column != F.lit(float("nan")), index)
 
 
 def repair_short_year(column: str | Column, last: int = 24) -> Column:

@@ -45,6 +45,7 @@ def merge_uncommon(
     The first criterion given decides: the ``max_categories`` most frequent
     labels stay (ties by label), or those with at least ``min_count`` rows, or
     those with at least the fraction ``min_pct`` of all rows. NULL is a label.
+    The column becomes text, whatever it was.
     """
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("_count"))
     at_most = None
@@ -62,5 +63,5 @@ def merge_uncommon(
         raise ValueError("give max_categories, min_count or min_pct")
     kept = kept.select(column, F.lit(True).alias("_kept"))
     marked = lookup_join(df, kept, column, "left", null_safe=True, at_most=at_most)
-    label = F.when(F.col("_kept"), F.col(column)).otherwise(F.lit(default))
+    label = F.when(F.col("_kept"), F.col(column).cast("string")).otherwise(F.lit(default))
     return marked.withColumn(column, label).select(*df.columns)

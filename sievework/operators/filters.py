@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievework.functions.text import is_ascii
 from sievework.operators.order_stats import quantile
@@ -50,5 +51,10 @@ def keep_first(df: DataFrame, key: str | list[str], order_by: list[str]) -> Data
     ordered = [c for c in order_by if c not in keys] + rest
     if not ordered:
         return df.distinct()
-    first = df.groupBy(*keys).agg(F.min(F.struct(*ordered)).alias("_first"))
+    maps = {f.name for f in df.schema.fields if isinstance(f.dataType, T.MapType)}
+    least = F.min(F.struct(*ordered))
+    if maps:  # maps have no order: ties go by their sorted entries
+        places = [F.array_sort(F.map_entries(c)).alias(c) if c in maps else F.col(c) for c in ordered]
+        least = F.min_by(F.struct(*ordered), F.struct(*places))
+    first = df.groupBy(*keys).agg(least.alias("_first"))
     return first.select(*[F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in df.columns])

@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievework.session import settle
+from sievework.session import settle, staged
 
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
-TRUSTED_ROWS = 10_000
 HOT_SHARE = 1_000
+SALTS = 64
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -50,18 +50,18 @@ def lookup_join(
 ) -> DataFrame:
     """Join rows to a lookup table with few rows per key (inner, left, left_semi).
 
-    A table that the caller knows to have ``at_most`` a few thousand rows is
-    broadcast. Any other is computed once (unless it is ``settled`` already)
-    and measured: a small one is broadcast, a larger one is shuffled for
+    The table is computed once (unless it is ``settled`` already) and measured
+    in rows and bytes: a small one is broadcast, a larger one is shuffled for
     ordinary keys, while the rows of hot keys are matched by broadcast where
     they lie, so no task receives a hot key's rows. There are less than
-    ``HOT_SHARE`` hot keys; should their lookup rows still be too many, the
-    join is left to adaptive execution. With ``null_safe`` NULL matches NULL.
+    ``HOT_SHARE`` hot keys; should their lookup rows still be too many, hot rows
+    are dealt over ``SALTS`` salts and their lookup rows repeated for each. A
+    table of ``at_most`` as many rows as a checkpoint holds well is settled, a
+    larger or unknown one is staged as parquet. With ``null_safe`` NULL matches NULL.
     """
     keys = [keys] if isinstance(keys, str) else keys
-    if at_most is not None and at_most <= min(broadcast_rows, TRUSTED_ROWS):
-        return _join(df, F.broadcast(table), keys, how, null_safe)
-    table = table if settled else settle(table)
+    if not settled:
+        table = settle(table) if at_most is not None and at_most <= BROADCAST_ROWS else staged(table, "lookup")
     if fits_broadcast(table, broadcast_rows):
         return _join(df, F.broadcast(table), keys, how, null_safe)
     hot = hot_keys(df, keys)
@@ -69,9 +69,13 @@ def lookup_join(
         return _join(df, table, keys, how, null_safe)
     is_hot = _any_of(keys, hot)
     hot_table = table.where(is_hot)
-    if not fits_broadcast(hot_table):
-        return _join(df, table, keys, how, null_safe)
-    return _join(df.where(is_hot), F.broadcast(hot_table), keys, how, null_safe).unionByName(
+    if fits_broadcast(hot_table, broadcast_rows):
+        met = _join(df.where(is_hot), F.broadcast(hot_table), keys, how, null_safe)
+    else:
+        dealt = df.where(is_hot).withColumn("_salt", F.monotonically_increasing_id() % SALTS)
+        copies = hot_table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+        met = _join(dealt, copies, [*keys, "_salt"], how, null_safe).drop("_salt")
+    return met.unionByName(
         _join(df.where(~is_hot), table.where(~is_hot), keys, how, null_safe)
     )
 

@@ -8,6 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievework.functions.numbers import nan_to_null
 from sievework.functions.text import ENGLISH_STOP_WORDS, cloud_words
 from sievework.operators.categories import count_categories
 from sievework.operators.order_stats import median, quantiles
@@ -21,6 +22,7 @@ def make_density_plot(df: DataFrame, column: str, points: int = 200, margin: flo
     kernel is exactly zero in double precision. Sums are combined per grid
     point before the shuffle.
     """
+    df = nan_to_null(df.select(column))
     n, sd, low, high = df.agg(F.count(column), F.stddev_samp(column), F.min(column), F.max(column)).first()
     if n < 2 or not sd:
         raise ValueError(f"{column} needs two different values for a density")
@@ -45,6 +47,7 @@ def make_density_plot(df: DataFrame, column: str, points: int = 200, margin: flo
 
 def make_boxplot(df: DataFrame, column: str) -> DataFrame:
     """One row: quartiles, whiskers (furthest values within 1.5 IQR) and outlier count."""
+    df = nan_to_null(df.select(column))
     q1, middle, q3 = quantiles(df, column, [0.25, 0.5, 0.75])
     reach = 1.5 * ((q3 or 0.0) - (q1 or 0.0))
     value = F.col(column)
@@ -80,6 +83,7 @@ def make_word_cloud(
 
 def get_summary_stats(df: DataFrame, column: str) -> DataFrame:
     """One row ``(mean, median, mode, stdev)``; the smallest mode if several tie."""
+    df = nan_to_null(df.select(column))
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).count()
     mode = counts.orderBy(F.desc("count"), "value").limit(1).select("value").scalar()
     return df.agg(

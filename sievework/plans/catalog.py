@@ -210,9 +210,10 @@ def lang_split_semi_join(spark, folder):
 
 
 def union_chunks(spark, folder):
-    """Per-language chunks of the documents put together again."""
+    """Four chunks of the documents, dealt by id hash, put together again."""
     documents = table(spark, folder, "documents").select("doc_id", "lang", "n_chars")
-    return files.union_chunks([filters.equals(documents, "lang", lang) for lang in ("en", "de", "fr", "es")])
+    chunk = F.pmod(F.xxhash64("doc_id"), F.lit(4))
+    return files.union_chunks([documents.where(chunk == i) for i in range(4)])
 
 
 def land_csv(spark, folder) -> str:
@@ -376,7 +377,7 @@ def quality_experiment(spark, folder) -> GenreClassifier:
 
 def quality_vectors(spark, folder):
     prepared = quality_experiment(spark, folder).prepare(spark)
-    vectors = models.vectorize(prepared.documents, prepared.counts, prepared.vocabulary)
+    vectors = models.vectorize(prepared.documents, prepared.counts, prepared.terms)
     vectors = staged(models.index_labels(prepared.documents, "label").transform(vectors))
     return vectors.where(~F.col("is_test")).drop("is_test"), vectors.where("is_test")
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
+from sievework.functions.numbers import nan_to_null
 from sievework.operators import binning, categories, missing, profile, scaling
 from sievework.operators.filters import drop_missing
 from sievework.plans import recipes
@@ -167,7 +168,7 @@ def load_data(spark: SparkSession, config: PrepareConfig, table: DataFrame | Non
         df = _named(PREPROCESSORS, config.preprocess)(df)
     require_columns(df, config.attributes)
     df = missing.blank_sentinels(df, {n: list(a.missing_values) for n, a in config.attributes.items()})
-    df = cast_declared(df, {name: a.type for name, a in config.attributes.items()})
+    df = nan_to_null(cast_declared(df, {name: a.type for name, a in config.attributes.items()}))
     return df.withColumnsRenamed({n: a.rename for n, a in config.attributes.items() if a.rename})
 
 

@@ -45,6 +45,18 @@ def clean_name(name: str) -> str:
     return name.replace(" ", "_").replace("'", "")
 
 
+def number_text(value: Column) -> Column:
+    """A float in plain notation from 1e-4 up to 1e16, else with an exponent of two digits at least."""
+    text, size = value.cast("string"), F.abs(value)
+    plain = F.regexp_replace(text.try_cast("decimal(38,20)").cast("string"), r"0+$", "")
+    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
+    power = F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int")
+    digits = F.when(F.abs(power) < 10, F.concat(F.lit("0"), F.abs(power).cast("string"))).otherwise(F.abs(power).cast("string"))
+    mantissa = F.regexp_replace(F.regexp_extract(text, r"^([^E]+)E", 1), r"\.0$", "")
+    short = F.concat(mantissa, F.when(power < 0, "e-").otherwise("e+"), digits)
+    return F.when(~text.contains("E"), text).when((size >= 1e-4) & (size < 1e16), plain).otherwise(short)
+
+
 def label_text(df: DataFrame, column: str) -> Column:
     """A value as an ARFF label: integers get a ``_`` prefix, outer blanks go."""
     kind, value = df.schema[column].dataType, F.col(column)
@@ -54,7 +66,7 @@ def label_text(df: DataFrame, column: str) -> Column:
     elif isinstance(kind, (T.FloatType, T.DoubleType)):
         name = F.when(F.isnan(value), "nan").when(value > 0, "inf").otherwise("-inf")
         finite = ~F.isnan(value) & (F.abs(value) != float("inf"))
-        labelled = F.when(finite, F.concat(F.lit("_"), text)).otherwise(name)
+        labelled = F.when(finite, F.concat(F.lit("_"), number_text(value))).otherwise(name)
     elif isinstance(kind, T.NumericType):
         labelled = F.concat(F.lit("_"), text)
     else:
@@ -112,6 +124,8 @@ def dataframe_as_arff(df: DataFrame, config: ArffConfig, path: str, missing: str
     """
     lines = header_lines(df, config).coalesce(1).sortWithinPartitions("line_no")
     lines.select("value").write.mode("overwrite").text(f"{path}/header")
-    body = arff_body(df, config).write.mode("overwrite").option("header", False)
+    rows = arff_body(df, config)
+    numbers = [clean_name(n) for n, kind in config.attributes.items() if kind == "NUMERIC"]
+    body = rows.withColumns({n: number_text(F.col(n)) for n in numbers}).write.mode("overwrite").option("header", False)
     body = body.option("quote", '"').option("escape", '"').option("nullValue", missing).option("emptyValue", "")
     body.csv(f"{path}/body")

@@ -10,23 +10,45 @@ from pyspark.sql import functions as F
 from sievework.functions.numbers import nan_to_null
 
 
-def scan_csv(spark: SparkSession, path: str | list[str], columns: dict[str, str], multiline: bool = True) -> DataFrame:
+# Texts that a CSV file may hold for a missing value.
+MISSING_TEXTS = ("", "NA", "N/A", "n/a", "#N/A", "NULL", "null", "NaN", "nan", "-NaN", "-nan", "None", "<NA>")
+
+
+def parse_text(text: Column, kind: str, strict: bool) -> Column:
+    """Text as a declared type; whole numbers may be written with a fraction of zero.
+
+    A value that does not fit is an error if ``strict``, else missing.
+    """
+    if kind == "string":
+        return text
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        text = F.regexp_replace(text, r"^(\s*[+-]?\d+)\.0*\s*$", "$1")
+    return text.cast(kind) if strict else text.try_cast(kind)
+
+
+def scan_csv(
+    spark: SparkSession,
+    path: str | list[str],
+    columns: dict[str, str],
+    multiline: bool = True,
+    strict: bool = False,
+    missing: tuple[str, ...] = MISSING_TEXTS,
+) -> DataFrame:
     """Named columns of CSV files with a header, parsed to the declared types.
 
-    Only these columns are parsed. Values that do not fit their type are
-    missing. Quoted fields may hold line breaks; such a file is read by one
+    Only these columns are parsed. The texts in ``missing`` are missing values.
+    A value that does not fit its type is missing, or an error if ``strict``. A
+    file whose header differs from the first one's is an error. Quoted fields may hold line breaks; such a file is read by one
     task, so land large data as many files or, when no field holds a line
     break, set ``multiline=False`` to have files split.
     """
-    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"')
+    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("enforceSchema", False)
     raw = reader.option("multiLine", multiline).csv(path)
     absent = [c for c in columns if c not in raw.columns]
     if absent:
         raise ValueError(f"columns not in {path}: {absent}")
-    typed = [
-        F.col(f"`{c}`") if kind == "string" else F.col(f"`{c}`").try_cast(kind).alias(c) for c, kind in columns.items()
-    ]
-    return raw.select(*typed)
+    known = lambda c: F.when(~F.col(f"`{c}`").isin(list(missing)), F.col(f"`{c}`"))
+    return raw.select(*[parse_text(known(c), kind, strict).alias(c) for c, kind in columns.items()])
 
 
 def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
