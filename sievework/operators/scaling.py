@@ -10,9 +10,9 @@ from sievework.operators.missing import present
 
 def z_score_norm(df: DataFrame, column: str) -> Column:
     """Distance from the mean in sample standard deviations; NULL if they are zero."""
-    value = present(df, column).cast("double")
+    value = present(df, column)
     stats = df.agg(F.struct(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))).scalar()
-    return (value - stats["mean"]) / F.nullif(stats["sd"], F.lit(0.0))
+    return (value.cast("double") - stats["mean"]) / F.nullif(stats["sd"], F.lit(0.0))
 
 
 def min_max_norm(df: DataFrame, column: str) -> Column:
