@@ -249,6 +249,33 @@ def csv_ingest(spark, folder):
     return digests(spark, f"{base}/metadata", f"{base}/text")
 
 
+def ingest_music(spark, folder):
+    """Documents landed in the raw music layout and taken up by the real ingest."""
+    base = scratch_path(spark, "music-ingest")
+    songs = table(spark, folder, "documents").select(
+        F.col("source").alias("title"), F.lit("pop").alias("tag"), F.lit("a, b").alias("artist"), F.lit("1999.0").alias("year"),
+        F.col("n_chars").alias("views"), F.lit("{}").alias("features"), F.col("text").alias("lyrics"), F.col("doc_id").alias("id"), F.col("lang").alias("language_cld3"),
+    )
+    writer = songs.repartition(4, "id").write.option("header", True).option("quote", '"').option("escape", '"')
+    writer.option("quoteAll", True).csv(f"{base}/landing")
+    ingest.ingest_music(spark, f"{base}/landing", f"{base}/metadata", f"{base}/text")
+    joined = files.scan_parquet(spark, f"{base}/metadata").join(files.scan_parquet(spark, f"{base}/text"), "id")
+    return joined.select("id", "title", "year", "views", F.md5("lyrics").alias("digest"))
+
+
+def ingest_movies(spark, folder):
+    """Documents landed in the raw movie layout and taken up by the real ingest."""
+    base = scratch_path(spark, "movie-ingest")
+    own = {"id": F.col("doc_id"), "title": F.col("source"), "original_language": F.col("lang"), "overview": F.col("text"), "vote_count": F.col("n_chars")}
+    filler = {"string": F.lit("x"), "bigint": F.lit(1), "double": F.lit("2.5")}
+    movies = table(spark, folder, "documents").select(*[own.get(c, filler[k]).alias(c) for c, k in ingest.MOVIE_COLUMNS.items()])
+    writer = movies.repartition(4, "id").write.option("header", True).option("quote", '"').option("escape", '"')
+    writer.option("quoteAll", True).csv(f"{base}/landing")
+    ingest.ingest_movies(spark, f"{base}/landing", f"{base}/metadata", f"{base}/text")
+    joined = files.scan_parquet(spark, f"{base}/metadata").join(files.scan_parquet(spark, f"{base}/text"), "id")
+    return joined.select("id", "title", "vote_count", "popularity", F.md5("overview").alias("digest"))
+
+
 # ---- text -----------------------------------------------------------------
 
 def ascii_documents(spark, folder):
@@ -558,6 +585,8 @@ def queries() -> dict[str, Query]:
         "lang_split_semi_join": lang_split_semi_join,
         "csv_ingest": csv_ingest,
         "incremental_ingest": incremental_ingest,
+        "ingest_music": ingest_music,
+        "ingest_movies": ingest_movies,
         "union_chunks": union_chunks,
         "ascii_filter": ascii_filter,
         "term_counts": raw_counts,

@@ -459,6 +459,12 @@ def oracle_sql() -> dict[str, str]:
         """,
         "csv_ingest": "select doc_id, n_chars, md5(text) as digest from documents where lang = 'en'",
         "incremental_ingest": "select doc_id, n_chars, md5(text) as digest from documents where lang = 'en'",
+        "ingest_music": """
+            select doc_id as id, source as title, 1999::bigint as year, n_chars as views, md5(text) as digest
+            from documents where lang = 'en'""",
+        "ingest_movies": """
+            select doc_id as id, source as title, n_chars as vote_count, 2.5::double as popularity, md5(text) as digest
+            from documents where lang = 'en'""",
         "union_chunks": "select doc_id, lang, n_chars from documents",
         "ascii_filter": f"select doc_id, true as ascii from ({ASCII_DOCS})",
         "term_counts": f"with {COUNTS} select * from counts",

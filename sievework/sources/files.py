@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,7 +73,14 @@ def save_parquet(df: DataFrame, path: str) -> None:
 
 
 def append_parquet(df: DataFrame, path: str) -> None:
-    """Add rows to a parquet table; all of them are kept under the declared schema."""
+    """Add rows to a parquet table, whose columns must be the same in name and type."""
+    try:
+        there = df.sparkSession.read.parquet(path).schema
+    except AnalysisException:  # nothing there yet
+        there = df.schema
+    kinds = lambda schema: {f.name: f.dataType.simpleString() for f in schema}
+    if kinds(there) != kinds(df.schema):
+        raise ValueError(f"{path} holds {there.simpleString()}, not {df.schema.simpleString()}")
     df.write.mode("append").parquet(path)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sievework.operators.filters import equals
+from sievework.session import staged
 from sievework.sources.files import save_parquet, scan_csv
 
 # Columns of the raw movie and music files.
@@ -29,21 +30,21 @@ def split_text(df: DataFrame, key: str, text_col: str, drop: tuple[str, ...] = (
 
 
 def ingest_movies(spark: SparkSession, csv_path: str, metadata_path: str, text_path: str, multiline: bool = True):
-    """English movies from CSV to a metadata and an overview table."""
-    english = equals(scan_csv(spark, csv_path, MOVIE_COLUMNS, multiline), "original_language", "en")
+    """English movies from CSV, parsed once, to a metadata and an overview table."""
+    english = staged(equals(scan_csv(spark, csv_path, MOVIE_COLUMNS, multiline), "original_language", "en"), "movies")
     metadata, text = split_text(english, "id", "overview")
     save_parquet(metadata, metadata_path)
     save_parquet(text, text_path)
 
 
 def ingest_music(spark: SparkSession, csv_path: str, metadata_path: str, text_path: str, multiline: bool = True):
-    """English songs from CSV to a metadata and a lyrics table.
+    """English songs from CSV, parsed once, to a metadata and a lyrics table.
 
-    Both tables hold exactly the English rows of one scan, so the metadata need
+    Both tables hold exactly the English rows of one staged scan, so the metadata need
     no join with the ids that have lyrics; ``keep_known`` does that for tables
     of different origin.
     """
-    english = equals(scan_csv(spark, csv_path, MUSIC_COLUMNS, multiline), "language_cld3", "en")
+    english = staged(equals(scan_csv(spark, csv_path, MUSIC_COLUMNS, multiline), "language_cld3", "en"), "music")
     metadata, text = split_text(english, "id", "lyrics", drop=("language_cld3",))
     save_parquet(metadata, metadata_path)
     save_parquet(text, text_path)

@@ -7,6 +7,7 @@ import pytest
 sys.path.insert(0, "tools")
 
 import __spark_entry__ as entry  # noqa: E402
+from sievework.plans import catalog  # noqa: E402
 from tools.check_queries import TABLES, canonical  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
@@ -35,7 +36,7 @@ def test_query_matches_sql(spark, database, name):
 
 
 def test_every_query_has_sql_or_trains_a_model():
-    assert set(QUERIES) - set(ORACLE) == {"dt_grid", "rf_grid", "soft_vote", "experiment_scores"}
+    assert set(catalog.queries()) - set(ORACLE) == {"dt_grid", "rf_grid", "soft_vote", "experiment_scores"}
 
 
 def test_entry(spark):

@@ -77,3 +77,19 @@ def test_incremental_ingest_takes_each_file_once(spark, tmp_path):
     assert run() == [1]
     write_csv(tmp_path / "in/b.csv", MUSIC, [song(3, "en"), song(4, "en")])
     assert run() == [1, 3, 4]
+
+
+def test_append_checks_the_columns(spark, tmp_path):
+    files.append_parquet(spark.range(3), str(tmp_path / "t"))
+    with pytest.raises(ValueError, match="holds"):
+        files.append_parquet(spark.range(3).selectExpr("cast(id as int) as id"), str(tmp_path / "t"))
+    assert files.scan_parquet(spark, str(tmp_path / "t")).count() == 3
+
+
+def test_a_file_is_parsed_once(spark, tmp_path):
+    write_csv(tmp_path / "music.csv", MUSIC, [song(i, "en") for i in range(5)])
+    tracker = spark.sparkContext._jsc.sc().statusStore()
+    before = tracker.jobsList(None).size()
+    ingest.ingest_music(spark, str(tmp_path / "music.csv"), str(tmp_path / "meta"), str(tmp_path / "text"))
+    assert tracker.jobsList(None).size() - before <= 5  # header, parse, two writes
+    assert "parquet" in files.scan_parquet(spark, str(tmp_path / "meta"))._jdf.queryExecution().executedPlan().toString().lower()
