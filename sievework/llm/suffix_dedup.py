@@ -36,7 +36,9 @@ from sievework.operators.joins import fits_broadcast
 from sievework.session import staged
 
 LENGTH = 100
-SEED = 24
+SEED = 36
+#: A window holds this many bytes on one side of its filing string at least.
+SIDE = (LENGTH - SEED) // 2
 SHARD_BYTES = 3 << 20
 #: Different stretches under one string from which on they are dealt window by window.
 HOT = 4_096
@@ -45,10 +47,10 @@ _ROWS = 1_000_000
 _PLACE = np.uint64((1 << 24) - 1)
 
 
-def stretches(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Filing hash, content hash, start and length in bytes of the stretches of a text."""
+def stretches(data: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Filing hash, content hash, start, length in bytes and place of the filing string of the stretches of a text."""
     found = [_stretches(data[a : a + SEGMENT + LENGTH - 1], a) for a in range(0, max(len(data) - LENGTH + 1, 0), SEGMENT)]
-    none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(c) for c in zip(none, *found))
 
 
@@ -68,7 +70,7 @@ def _stretches(data: np.ndarray, offset: int):
     first = np.flatnonzero(np.diff(where, prepend=-1))
     last = np.append(first[1:], n)
     size = last - first + LENGTH - 1
-    return seeds[where[first]], W.range_hashes(sums, first, first + size), first + offset, size
+    return seeds[where[first]], W.range_hashes(sums, first, first + size), first + offset, size, where[first] - first
 
 
 def _filed(bodies: DataFrame) -> DataFrame:
@@ -76,13 +78,13 @@ def _filed(bodies: DataFrame) -> DataFrame:
         for batch in W.in_groups(batches, 2, 1 << 20):
             found = [stretches(W.raw(t)) for t in batch.column(2).to_pylist()]
             row = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
-            seed, content, start, size = (np.concatenate(c) for c in zip(*found))
+            seed, content, start, size, place = (np.concatenate(c) for c in zip(*found))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(W.signed(seed)), pa.array(W.signed(content)), batch.column(0).take(row), batch.column(1).take(row), pa.array(start), pa.array(size.astype(np.int32))],
-                ["seed", "content", "_doc", "_text", "start", "size"],
+                [pa.array(W.signed(seed)), pa.array(W.signed(content)), batch.column(0).take(row), batch.column(1).take(row), pa.array(start), pa.array(size.astype(np.int32)), pa.array(place.astype(np.int32))],
+                ["seed", "content", "_doc", "_text", "start", "size", "place"],
             )
 
-    return bodies.mapInArrow(file, "seed bigint, content bigint, _doc bigint, _text bigint, start bigint, size int")
+    return bodies.mapInArrow(file, "seed bigint, content bigint, _doc bigint, _text bigint, start bigint, size int, place int")
 
 
 def _attach(docs: DataFrame, table: DataFrame, how: str) -> DataFrame:
@@ -91,22 +93,23 @@ def _attach(docs: DataFrame, table: DataFrame, how: str) -> DataFrame:
 
 
 def _with_bytes(bodies: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``shard_key, _doc, _text, start, bytes`` of the chosen stretches (seed, at, size, hot).
+    """``shard_key, _doc, _text, start, place, bytes`` of the chosen stretches (seed, at, size, place, hot).
 
     A hot stretch becomes one row per window, keyed by the window itself.
     """
-    lists = chosen.groupBy("at._doc", "at._text").agg(F.collect_list(F.struct("seed", "at.start", "size", "hot")).alias("wanted"))
+    lists = chosen.groupBy("at._doc", "at._text").agg(F.collect_list(F.struct("seed", "at.start", "size", "place", "hot")).alias("wanted"))
     found = _attach(bodies, staged(lists, "wanted"), "inner").drop_duplicates(["_doc", "_text"])
 
     def cut(batches):
         for batch in W.pieces(batches, 16):
-            keys, docs, ties, starts, parts = [], [], [], [], []
+            keys, docs, ties, starts, places, parts = [], [], [], [], [], []
 
-            def add(key, doc, tie, start, part):
+            def add(key, doc, tie, start, place, part):
                 keys.append(key)
                 docs.append(doc)
                 ties.append(tie)
                 starts.append(start)
+                places.append(place)
                 parts.append(part)
 
             for doc, tie, text, wanted in zip(*[c.to_pylist() for c in batch.columns]):
@@ -114,23 +117,43 @@ def _with_bytes(bodies: DataFrame, chosen: DataFrame) -> DataFrame:
                 for w in wanted:
                     start, size = w["start"], w["size"]
                     if not w["hot"]:
-                        add(w["seed"], doc, tie, start, data[start : start + size])
+                        add(w["seed"], doc, tie, start, w["place"], data[start : start + size])
                         continue
                     for s in range(start, start + size - LENGTH + 1):
                         part = data[s : s + LENGTH]
-                        add(int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little", signed=True), doc, tie, s, part)
+                        add(int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little", signed=True), doc, tie, s, -1, part)
                     if len(keys) > 50_000:
-                        yield _rows(keys, docs, ties, starts, parts)
-                        for x in (keys, docs, ties, starts, parts):
+                        yield _rows(keys, docs, ties, starts, places, parts)
+                        for x in (keys, docs, ties, starts, places, parts):
                             x.clear()
             if keys:
-                yield _rows(keys, docs, ties, starts, parts)
+                yield _rows(keys, docs, ties, starts, places, parts)
 
-    return found.select("_doc", "_text", "body", "wanted").mapInArrow(cut, "shard_key bigint, _doc bigint, _text bigint, start bigint, bytes binary")
+    return found.select("_doc", "_text", "body", "wanted").mapInArrow(cut, "shard_key bigint, _doc bigint, _text bigint, start bigint, place int, bytes binary")
 
 
-def _rows(keys, docs, ties, starts, parts) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in (keys, docs, ties, starts)], pa.array(parts, pa.binary())], ["shard_key", "_doc", "_text", "start", "bytes"])
+def _rows(keys, docs, ties, starts, places, parts) -> pa.RecordBatch:
+    columns = [*[pa.array(x, pa.int64()) for x in (keys, docs, ties, starts)], pa.array(places, pa.int32()), pa.array(parts, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["shard_key", "_doc", "_text", "start", "place", "bytes"])
+
+
+def with_company(parts: list[bytes], place: np.ndarray) -> np.ndarray:
+    """Which stretches can share a window with another one.
+
+    A window holds its filing string with SIDE bytes before it or SIDE bytes
+    behind it; a stretch that shares neither with another has no equal window.
+    Stretches without a place (-1) stay.
+    """
+    sizes = np.array([len(p) for p in parts], np.int64)
+    begin = np.cumsum(sizes) - sizes
+    sums = W.prefix_sums(W._BYTE[np.frombuffer(b"".join(parts), np.uint8)])
+    keep = place < 0
+    for low, high in ((-SIDE, SEED), (0, SEED + SIDE)):
+        real = np.flatnonzero((place + low >= 0) & (place + high <= sizes) & (place >= 0))
+        at = begin[real] + place[real]
+        _, group, times = np.unique(W.range_hashes(sums, at + low, at + high), return_inverse=True, return_counts=True)
+        keep[real] |= times[group] > 1
+    return keep
 
 
 def repeated_windows(parts: list[bytes], order_key: np.ndarray, length: int = LENGTH, budget: int = QUEUE_BYTES) -> tuple[np.ndarray, np.ndarray]:
@@ -188,11 +211,15 @@ def _sorted_shards(rows: DataFrame, shards: int) -> DataFrame:
     def sort(batches):
         keys, parts = [], []
         for batch in batches:
-            keys.append(np.column_stack([batch.column(i).to_numpy() for i in (1, 2, 3)]))
-            parts += batch.column(4).to_pylist()
+            keys.append(np.column_stack([batch.column(i).to_numpy().astype(np.int64) for i in (1, 2, 3, 4)]))
+            parts += batch.column(5).to_pylist()
         if not parts:
             return
         place = np.concatenate(keys)
+        keep = np.flatnonzero(with_company(parts, place[:, 3]))
+        if not len(keep):
+            return
+        place, parts = place[keep], [parts[i] for i in keep.tolist()]
         owner, offset = repeated_windows(parts, place)
         doc, tie, start, end = _runs(place[owner, 2] + offset, place[owner, 0], place[owner, 1])
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, tie, start, end)], ["_doc", "_text", "start", "end"])
@@ -208,12 +235,12 @@ def removed_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     filed = staged(_filed(bodies), "filed")
     shared = filed.groupBy("seed").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("seed")
     met = staged(filed.join(shared, "seed"), "met")
-    first = met.groupBy("seed", "content", "size").agg(F.min(F.struct("_doc", "_text", "start")).alias("at"), F.count(F.lit(1)).alias("times"))
+    first = met.groupBy("seed", "content", "size").agg(F.min(F.struct("_doc", "_text", "start")).alias("at"), F.any_value("place").alias("place"), F.count(F.lit(1)).alias("times"))
     first = staged(first, "first")
-    again = met.join(first.where("times > 1"), ["seed", "content", "size"])
+    again = met.join(first.where("times > 1").drop("place"), ["seed", "content", "size"])
     again = again.where(F.struct("_doc", "_text", "start") != F.col("at")).select("_doc", "_text", "start", (F.col("start") + F.col("size")).alias("end"))
     kinds = first.groupBy("seed").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("seed", (F.col("kinds") > HOT).alias("hot"))
-    chosen = first.join(kinds, "seed").select("seed", "at", "size", "hot")
+    chosen = first.join(kinds, "seed").select("seed", "at", "size", "place", "hot")
     rows = staged(_with_bytes(bodies, chosen), "stretches")
     total = rows.agg(F.sum(F.length("bytes"))).first()[0] or 0
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
