@@ -72,9 +72,9 @@ def test_op2_components(spark, monkeypatch, tile, frequent):
 
 def test_op2_tree_gives_every_pair_within_its_bound():
     rng = np.random.default_rng(4)
-    points = rng.integers(0, 4, (300, ngram_join.GROUPS))
+    points = rng.integers(0, 4, (300, ngram_join.GROUPS), dtype=np.uint8)
     points[150:] = points[:150] + (rng.random((150, ngram_join.GROUPS)) < 0.03)
-    sizes = points.sum(1)
+    sizes = points.sum(1, dtype=np.int64)
     a, b = ngram_join.Tree(points, sizes).pairs()
     found = {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())}
     expected = {(i, j) for i in range(300) for j in range(i + 1, 300) if np.minimum(points[i], points[j]).sum() >= ngram_join.needed(sizes[i], sizes[j])}
