@@ -32,8 +32,7 @@ from pyspark.sql import functions as F
 
 from sievework.llm import words as W
 from sievework.llm.induced_sort import QUEUE_BYTES, suffix_order
-from sievework.operators.joins import fits_broadcast
-from sievework.session import staged
+from sievework.session import scratch_path, staged
 
 LENGTH = 100
 SEED = 36
@@ -43,7 +42,6 @@ SHARD_BYTES = 3 << 20
 #: Different stretches under one string from which on they are dealt window by window.
 HOT = 4_096
 SEGMENT = 1 << 22
-_ROWS = 1_000_000
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -87,18 +85,13 @@ def _filed(bodies: DataFrame) -> DataFrame:
     return bodies.mapInArrow(file, "seed bigint, content bigint, _doc bigint, _text bigint, start bigint, size int, place int")
 
 
-def _attach(docs: DataFrame, table: DataFrame, how: str) -> DataFrame:
-    small = fits_broadcast(table, _ROWS)
-    return docs.join(F.broadcast(table) if small else table, ["_doc", "_text"], how)
-
-
 def _with_bytes(bodies: DataFrame, chosen: DataFrame) -> DataFrame:
     """``shard_key, _doc, _text, start, place, bytes`` of the chosen stretches (seed, at, size, place, hot).
 
     A hot stretch becomes one row per window, keyed by the window itself.
     """
     lists = chosen.groupBy("at._doc", "at._text").agg(F.collect_list(F.struct("seed", "at.start", "size", "place", "hot")).alias("wanted"))
-    found = _attach(bodies, staged(lists, "wanted"), "inner").drop_duplicates(["_doc", "_text"])
+    found = bodies.join(staged(lists, "wanted"), ["_doc", "_text"]).drop_duplicates(["_doc", "_text"])
 
     def cut(batches):
         for batch in W.pieces(batches, 16):
@@ -232,9 +225,12 @@ def removed_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """``_doc, _text, ranges``: the byte ranges (start, end) to remove, per document row that loses any; they may overlap."""
     W.ship(docs.sparkSession)
     bodies = docs.select(*W.by_row(key, text), F.col(text).alias("body"))
-    filed = staged(_filed(bodies), "filed")
+    spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "filed")
+    _filed(bodies).write.parquet(path)
+    filed = spark.read.parquet(path)
     shared = filed.groupBy("seed").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("seed")
     met = staged(filed.join(shared, "seed"), "met")
+    W.discard(spark, path)  # most stretches are filed alone and end here
     first = met.groupBy("seed", "content", "size").agg(F.min(F.struct("_doc", "_text", "start")).alias("at"), F.any_value("place").alias("place"), F.count(F.lit(1)).alias("times"))
     first = staged(first, "first")
     again = met.join(first.where("times > 1").drop("place"), ["seed", "content", "size"])
@@ -243,7 +239,7 @@ def removed_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     chosen = first.join(kinds, "seed").select("seed", "at", "size", "place", "hot")
     rows = staged(_with_bytes(bodies, chosen), "stretches")
     total = rows.agg(F.sum(F.length("bytes"))).first()[0] or 0
-    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
     ranges = again.union(_sorted_shards(rows, shards))
     return ranges.groupBy("_doc", "_text").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
 
@@ -265,7 +261,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     """``row`` (all columns of docs), ``kept`` (binary), ``n_bytes``, ``n_removed`` and ``n_spans``."""
     removed = staged(removed_ranges(docs, key, text), "ranges")
     plain = docs.select(*W.by_row(key, text), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("body"))
-    joined = _attach(plain, removed, "left").select("row", "body", "ranges")
+    joined = plain.join(removed, ["_doc", "_text"], "left").select("row", "body", "ranges")
 
     def rewrite(batches):
         for batch in W.pieces(batches):

@@ -134,6 +134,13 @@ def ship(spark) -> None:
         spark.conf.set("spark.sievework.shipped", spark.sparkContext.applicationId)
 
 
+def discard(spark, path: str) -> None:
+    """Delete a staged folder that later steps no longer read."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def read(spark, folder: str, table: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet")
