@@ -10,7 +10,9 @@ the same document and a smaller start. Strings are judged on the input.
 2. Of equal stretches only the earliest goes on, the others are removed whole, so
    a passage that a third of all documents share costs one stretch.
 3. Remaining stretches are dealt by the string they are filed under to shards.
-   A string with very many different stretches is dealt window by window.
+   The windows of a string with very many different stretches meet by a 128-bit
+   hash of their bytes instead, at the earliest of each kind; all others go, and
+   no window of such a string comes to a shard.
 4. A shard is one text whose suffixes are put in order by external induced
    sorting (see induced_sort); common prefixes of neighbours in that order, up
    to 100 bytes, give the groups of equal windows. All but the earliest of a
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 
 from sievework.llm import words as W
 from sievework.llm.induced_sort import QUEUE_BYTES, suffix_order
+from sievework.operators.joins import lookup_join
 from sievework.session import scratch_path, staged
 
 LENGTH = 100
@@ -39,7 +42,7 @@ SEED = 36
 #: A window holds this many bytes on one side of its filing string at least.
 SIDE = (LENGTH - SEED) // 2
 SHARD_BYTES = 3 << 20
-#: Different stretches under one string from which on they are dealt window by window.
+#: Different stretches under one string from which on their windows are grouped by their bytes.
 HOT = 4_096
 SEGMENT = 1 << 22
 _PLACE = np.uint64((1 << 24) - 1)
@@ -88,7 +91,7 @@ def _filed(bodies: DataFrame) -> DataFrame:
 def _with_bytes(bodies: DataFrame, chosen: DataFrame) -> DataFrame:
     """``shard_key, _doc, _text, start, place, bytes`` of the chosen stretches (seed, at, size, place, hot).
 
-    A hot stretch becomes one row per window, keyed by the window itself.
+    A hot stretch becomes one row per window, with place -1 and a 128-bit hash as its bytes.
     """
     lists = chosen.groupBy("at._doc", "at._text").agg(F.collect_list(F.struct("seed", "at.start", "size", "place", "hot")).alias("wanted"))
     found = bodies.join(staged(lists, "wanted"), ["_doc", "_text"]).drop_duplicates(["_doc", "_text"])
@@ -113,8 +116,7 @@ def _with_bytes(bodies: DataFrame, chosen: DataFrame) -> DataFrame:
                         add(w["seed"], doc, tie, start, w["place"], data[start : start + size])
                         continue
                     for s in range(start, start + size - LENGTH + 1):
-                        part = data[s : s + LENGTH]
-                        add(int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little", signed=True), doc, tie, s, -1, part)
+                        add(w["seed"], doc, tie, s, -1, hashlib.blake2b(data[s : s + LENGTH], digest_size=16).digest())
                     if len(keys) > 50_000:
                         yield _rows(keys, docs, ties, starts, places, parts)
                         for x in (keys, docs, ties, starts, places, parts):
@@ -198,6 +200,18 @@ def _runs(start: np.ndarray, doc: np.ndarray, tie: np.ndarray):
     return doc[first], tie[first], start[first], start[last[: len(first)]] + LENGTH
 
 
+def _later_windows(windows: DataFrame) -> DataFrame:
+    """Intervals of the hot windows (_doc, _text, start, bytes) that are not the earliest of their kind.
+
+    Kinds are combined before the shuffle, and rows of a hot kind meet its
+    earliest place where they lie, so a window of all documents fills no task.
+    """
+    at = F.struct("_doc", "_text", "start")
+    kinds = windows.groupBy("bytes").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("times")).where("times > 1").select("bytes", "at")
+    later = lookup_join(windows, kinds, "bytes").where(at != F.col("at"))
+    return later.select("_doc", "_text", "start", (F.col("start") + LENGTH).alias("end"))
+
+
 def _sorted_shards(rows: DataFrame, shards: int) -> DataFrame:
     """Removed intervals from the suffix array of each shard."""
 
@@ -238,9 +252,11 @@ def removed_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     kinds = first.groupBy("seed").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("seed", (F.col("kinds") > HOT).alias("hot"))
     chosen = first.join(kinds, "seed").select("seed", "at", "size", "place", "hot")
     rows = staged(_with_bytes(bodies, chosen), "stretches")
+    windows = rows.where("place < 0").select("_doc", "_text", "start", "bytes")
+    rows = rows.where("place >= 0")
     total = rows.agg(F.sum(F.length("bytes"))).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
-    ranges = again.union(_sorted_shards(rows, shards))
+    ranges = again.union(_later_windows(windows)).union(_sorted_shards(rows, shards))
     return ranges.groupBy("_doc", "_text").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
 
 

@@ -61,6 +61,21 @@ def test_op1_removes_what_starts_earlier(spark, texts, monkeypatch, hot):
     assert {r[0]: tuple(r[1:]) for r in found} == brute.repeated_bytes(rows)
 
 
+def test_op1_shards_hold_no_more_of_a_hot_passage(spark, monkeypatch):
+    """A passage in all documents, in another context each: windows at its edges differ, those inside are equal."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 8)
+    rnd = random.Random(7)
+    some = lambda n: "".join(rnd.choice("abcdefghijklmnop ") for _ in range(n))
+    passage = some(130)
+    rows = [(i, some(150) + passage + some(150)) for i in range(40)]
+    dealt, shard = [], suffix_dedup._sorted_shards
+    monkeypatch.setattr(suffix_dedup, "_sorted_shards", lambda rows, shards: dealt.append(rows) or shard(rows, shards))
+    found = suffix_dedup.dedup_substrings(table(spark, rows)).select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    assert {r[0]: tuple(r[1:]) for r in found} == brute.repeated_bytes(rows)
+    most = dealt[0].groupBy("shard_key").count().agg(F.max("count")).first()[0] or 0
+    assert most <= suffix_dedup.HOT
+
+
 @pytest.mark.parametrize(("tile", "frequent"), [(1024, 64), (8, 2)])
 def test_op2_components(spark, monkeypatch, tile, frequent):
     monkeypatch.setattr(ngram_join, "TILE", tile)
