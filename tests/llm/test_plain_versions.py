@@ -85,6 +85,24 @@ def test_op2_components(spark, monkeypatch, tile, frequent):
     assert {r["_doc"]: (r["n"], r["comp"]) for r in done} == brute.shingle_components(rows)
 
 
+def test_op2_a_place_holds_two_tiles_and_a_pair_is_named_once(spark, monkeypatch):
+    """Many blocks of one hub over the same nodes, as a family of near copies makes them."""
+    monkeypatch.setattr(ngram_join, "TILE", 16)
+    nodes, keys = 12, range(-20, 20)
+    counts = bytes([1] * 40 + [0] * (ngram_join.GROUPS - 40))
+    blocks = spark.createDataFrame([(k, 0, i, 40, i) for k in keys for i in range(nodes)], "key bigint, hub bigint, node bigint, n bigint, comp bigint")
+    points = spark.createDataFrame([(i, bytearray(counts)) for i in range(nodes)], "node bigint, counts binary")
+    frame, met, named = type(blocks), [], []
+    dealt, distinct = frame.repartition, frame.distinct
+    monkeypatch.setattr(frame, "repartition", lambda self, *by: met.append(self.groupBy(*by).count().agg(F.max("count")).first()[0]) or dealt(self, *by))
+    monkeypatch.setattr(frame, "distinct", lambda self: named.append(self.collect()) or distinct(self))
+    found = {tuple(r) for r in ngram_join._candidates(blocks, points).collect()}
+    pairs = {(i, j) for j in range(nodes) for i in range(j)}
+    assert found == pairs
+    assert met[-1] <= 2 * ngram_join.TILE
+    assert len(named[-1]) == len(pairs)
+
+
 def test_op2_tree_gives_every_pair_within_its_bound():
     rng = np.random.default_rng(4)
     points = rng.integers(0, 4, (300, ngram_join.GROUPS), dtype=np.uint8)
