@@ -2,11 +2,13 @@
 
 Benchmark texts and documents are compared with A-Z lower-cased and white space
 runs as one space. A benchmark text is a probe if it has at most WHOLE
-characters, else it is cut into overlapping probes of PROBE characters, so a
-leaked part is found too. A probe of m characters with k = m * EDIT_PERCENT //
-100 edits keeps at least m + 1 - q (k + 1) of its q-grams, on diagonals at most
-2 k apart. So q-grams shared with a document are counted in overlapping diagonal
-bands; bands that reach the bound are verified by banded alignment.
+characters; of one with more than PROBE characters each part of PROBE characters,
+from every place on, is a probe too, so a leaked part is found wherever it was
+cut. A probe of m characters with k = m * EDIT_PERCENT // 100 edits keeps at least
+m + 1 - q (k + 1) of its q-grams, on diagonals at most 2 k apart. So q-grams
+shared with a document are counted in overlapping diagonal bands, over the whole
+text; the parts of a band that reach the bound are verified by banded alignment,
+all places of a text at once. A text that matches as a whole is reported so.
 
 Probes shorter than SHORT characters allow no edit; those shorter than q are
 looked up as they are. NULL, empty and blank benchmark texts match nothing, nor
@@ -25,7 +27,7 @@ from sievework.llm import words as W
 
 Q = 12
 EDIT_PERCENT = 5
-WHOLE, PROBE, STRIDE, SHORT = 160, 128, 64, 40
+WHOLE, PROBE, SHORT = 160, 128, 40
 #: Characters of benchmark text broadcast at once.
 BLOCK_CHARS = 4_000_000
 SEGMENT = 1 << 20
@@ -53,49 +55,54 @@ def _grams(points: np.ndarray, q: int) -> np.ndarray:
 
 
 class Probes:
-    """The q-gram index over a block of benchmark texts."""
+    """The q-gram index over a block of benchmark texts: whole ones, then those whose parts of PROBE characters count."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.item, self.points, self.edits = [], [], []
-        for item, text in items:
-            points, _ = normal(text)
-            n = len(points)
-            starts = [0] if n <= WHOLE else sorted({*range(0, n - PROBE, STRIDE), n - PROBE})
-            for s in starts if n else ():
-                own = points[s : s + (n if n <= WHOLE else PROBE)]
-                self.item.append(item)
-                self.points.append(own)
-                self.edits.append(len(own) * EDIT_PERCENT // 100 if len(own) >= SHORT else 0)
+        texts = [(i, p) for i, p in ((i, normal(t)[0]) for i, t in items) if len(p)]
+        whole = [(n, len(p)) for n, (_, p) in enumerate(texts) if len(p) <= WHOLE]
+        parts = [(n, PROBE) for n, (_, p) in enumerate(texts) if len(p) > PROBE]
+        self.text = [n for n, _ in whole + parts]
+        self.span = np.array([m for _, m in whole + parts], np.int64)
+        self.item = [texts[n][0] for n in self.text]
+        self.points = [texts[n][1] for n in self.text]
+        self.edits = [m * EDIT_PERCENT // 100 if m >= SHORT else 0 for m in self.span.tolist()]
         grams = [_grams(p, Q) for p in self.points]
         hashes = np.concatenate([np.zeros(0, np.uint64), *grams])
         owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams]) if grams else np.zeros(0, int)
         place = np.concatenate([np.zeros(0, int), *[np.arange(len(g)) for g in grams]])
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.owner, self.place = hashes[order], owner[order].astype(np.int64), place[order].astype(np.int64)
-        self.least = np.array([len(p) + 1 - Q * (k + 1) for p, k in zip(self.points, self.edits)], np.int64)
+        self.least = np.array([m + 1 - Q * (k + 1) for m, k in zip(self.span.tolist(), self.edits)], np.int64)
         self.step = np.array([2 * k + 1 for k in self.edits], np.int64)
         self.tiny = [i for i, p in enumerate(self.points) if len(p) < Q]
         self.seen = np.zeros(1 << 22, bool)
         self.seen[self.hashes >> np.uint64(42)] = True
-        self.reach = max(map(len, self.points), default=0) + 4 * max(self.step.tolist(), default=0) + Q
+        self.reach = max(self.span.tolist(), default=0) + 4 * max(self.step.tolist(), default=0) + Q
 
     def matches(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item, start, end, edits) of the best match of each item, as places in the text; the end is exclusive."""
         points, at = normal(text)
-        best: dict[int, tuple[int, int, int]] = {}
+        texts: dict[int, tuple[bool, int, int, int]] = {}
         for start in range(0, max(len(points), 1), SEGMENT):
             part = points[start : start + SEGMENT + self.reach]
-            for probe, band in self._bands(part):
-                found = self._align(probe, band, part)
+            for probe, band, places in self._bands(part):
+                found = self._align(probe, band, places, part)
                 if found:
-                    s, e, edits = found[0] + start, found[1] + start, found[2]
-                    old = best.get(self.item[probe])
-                    if old is None or (edits, s) < (old[2], old[0]):
-                        best[self.item[probe]] = (s, e, edits)
+                    cut = int(self.span[probe]) < len(self.points[probe])
+                    new = cut, found[2], found[0] + start, found[1] + start
+                    text = self.text[probe]
+                    if text not in texts or new[:3] < texts[text][:3]:
+                        texts[text] = new
+        names = dict(zip(self.text, self.item))
+        best: dict[int, tuple[int, int, int]] = {}
+        for text, (_, edits, s, e) in texts.items():
+            old = best.get(names[text])
+            if old is None or (edits, s) < (old[2], old[0]):
+                best[names[text]] = (s, e, edits)
         return sorted((item, int(at[s]), int(at[e - 1]) + 1, edits) for item, (s, e, edits) in best.items())
 
-    def _bands(self, points: np.ndarray) -> list[tuple[int, int]]:
-        """(probe, band) pairs that hold enough shared q-grams; band j covers diagonals j * step to (j + 2) * step."""
+    def _bands(self, points: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+        """(probe, band, places of the probe's parts) that hold enough shared q-grams; band j covers diagonals j * step to (j + 2) * step."""
         grams = _grams(points, Q)
         near = np.flatnonzero(self.seen[grams >> np.uint64(42)])
         low, high = (np.searchsorted(self.hashes, grams[near], side) for side in ("left", "right"))
@@ -108,45 +115,81 @@ class Probes:
         probe, place = np.tile(probe, 2), np.tile(place, 2)
         order = np.lexsort((place, both, probe))
         probe, both, place = probe[order], both[order], place[order]
-        new_band = np.concatenate(([True], (probe[1:] != probe[:-1]) | (both[1:] != both[:-1])))[: len(probe)]
-        new = new_band.copy()
-        new[1:] |= place[1:] != place[:-1]
-        first = np.flatnonzero(new_band)
-        counts = np.add.reduceat(new.astype(np.int64), first) if len(first) else first
-        enough = counts >= np.maximum(self.least[probe[first]], 1)
-        found = list(zip(probe[first][enough].tolist(), both[first][enough].tolist()))
+        new = np.concatenate(([True], (probe[1:] != probe[:-1]) | (both[1:] != both[:-1]) | (place[1:] != place[:-1])))[: len(probe)]
+        probe, both, place = probe[new], both[new], place[new]
+        # a part holds enough q-grams if the place of one and that of the last needed after it both lie in it
+        first = np.arange(len(probe))
+        last = first + np.maximum(self.least[probe], 1) - 1
+        first, last = first[last < len(probe)], last[last < len(probe)]
+        room = self.span[probe[first]] - Q
+        enough = (probe[first] == probe[last]) & (both[first] == both[last]) & (place[last] - place[first] <= room)
+        first, last, room = first[enough], last[enough], room[enough]
+        probe, both = probe[first], both[first]
+        low, high = np.maximum(place[last] - room, 0), place[first]
+        ends = np.flatnonzero(np.concatenate(((probe[1:] != probe[:-1]) | (both[1:] != both[:-1]), [True])))[: len(probe)]
+        found, at = [], 0
+        for end in (ends + 1).tolist():
+            p = int(probe[at])
+            change = np.zeros(len(self.points[p]) + 2, np.int64)
+            np.add.at(change, low[at:end], 1)
+            np.add.at(change, high[at:end] + 1, -1)
+            places = np.flatnonzero(np.cumsum(change) > 0)
+            found.append((p, int(both[at]), places[places <= len(self.points[p]) - self.span[p]]))
+            at = end
         for probe in self.tiny:
             own = self.points[probe]
             at = np.flatnonzero(points[: max(0, len(points) - len(own) + 1)] == own[0])
-            found += [(probe, int(p)) for p in at if np.array_equal(points[p : p + len(own)], own)][:1]
+            found += [(probe, int(p), np.zeros(1, np.int64)) for p in at if np.array_equal(points[p : p + len(own)], own)][:1]
         return found
 
-    def _align(self, probe: int, band: int, points: np.ndarray) -> tuple[int, int, int] | None:
-        """Banded alignment of a whole probe: (start, end, edits) if it is within its budget."""
-        own, k, step = self.points[probe], self.edits[probe], int(self.step[probe])
-        low, high = band * step - k, (band + 2) * step + k
-        width = high - low + 1
+    def _align(self, probe: int, band: int, places: np.ndarray, points: np.ndarray) -> tuple[int, int, int] | None:
+        """Banded alignment of the parts at these places: (start, end, edits) of the best one within its budget, the earliest of equals."""
+        own, k, step, span = self.points[probe], self.edits[probe], int(self.step[probe]), int(self.span[probe])
+        low, width = band * step - k, 2 * step + 2 * k + 1
         text = np.zeros(len(own) + width, np.uint32)
         a, b = max(low, 0), min(len(points), low + len(text))
         if a < b:
             text[a - low : b - low] = points[a:b]
-        steps = np.arange(width)
-        far = len(own) + 1
-        cost = np.zeros(width, np.int64)
-        begin = steps + low
-        for i, point in enumerate(own):
-            match = cost + (text[i : i + width] != point)
-            skip = np.append(cost[1:] + 1, far)
-            source = np.where(match <= skip, begin, np.append(begin[1:], begin[-1:]))
-            value = np.minimum(match, skip)
-            floor = np.minimum.accumulate(value - steps)
-            origin = np.maximum.accumulate(np.where(value - steps == floor, steps, -1))
-            cost, begin = floor + steps, source[origin]
-        end = int(cost.argmin())
-        if cost[end] > k:
-            return None
-        start, stop = max(int(begin[end]), 0), min(low + len(own) + end, len(points))
-        return (start, stop, int(cost[end])) if start < stop else None
+        near = np.lib.stride_tricks.sliding_window_view(text, width)
+        best = None
+        for at in range(0, len(places), 2048):
+            some = places[at : at + 2048]
+            cost, _ = self._costs(own, span, near, some, None)
+            least = cost.min(1)
+            limit = k if best is None else best[2]
+            some = some[(least <= limit) & (least == least.min())]
+            if not len(some):
+                continue
+            cost, begin = self._costs(own, span, near, some, low)
+            end = cost.argmin(1)
+            row = np.arange(len(some))
+            start = np.maximum(begin[row, end], 0)
+            stop = np.minimum(low + some + span + end, len(points))
+            for s, e, edits in zip(start.tolist(), stop.tolist(), cost[row, end].tolist()):
+                if s < e and (best is None or (edits, s) < (best[2], best[0])):
+                    best = s, e, edits
+        return best
+
+    @staticmethod
+    def _costs(own: np.ndarray, span: int, near: np.ndarray, places: np.ndarray, low: int | None) -> tuple[np.ndarray, np.ndarray | None]:
+        """Edits of each part (row) by the diagonal where it ends, and, given the lowest diagonal, where it begins in the document."""
+        width = near.shape[1]
+        steps = np.arange(width, dtype=np.int16)
+        far = np.int16(span + 1)
+        cost = np.zeros((len(places), width), np.int16)
+        skip = np.full_like(cost, far)
+        begin = None if low is None else places[:, None] + low + np.arange(width)
+        for i in range(span):
+            match = cost + (near[places + i] != own[places + i, None])
+            skip[:, :-1] = cost[:, 1:] + np.int16(1)
+            value = np.minimum(match, skip) - steps
+            floor = np.minimum.accumulate(value, axis=1)
+            if begin is not None:
+                source = np.where(match <= skip, begin, np.concatenate((begin[:, 1:], begin[:, -1:]), axis=1))
+                origin = np.maximum.accumulate(np.where(value == floor, steps, np.int16(-1)), axis=1)
+                begin = np.take_along_axis(source, origin.astype(np.int64), axis=1)
+            cost = floor + steps
+        return cost, begin
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:

@@ -186,6 +186,24 @@ def test_op5_parts_of_long_texts_are_found():
     assert probes.matches(" ".join(words[10:20])) == []
 
 
+@pytest.mark.parametrize("length", [140, 160, 161, 300, 700])
+def test_op5_parts_are_found_at_every_offset(length):
+    rnd = random.Random(length)
+    some = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    item = some(length)
+    probes = decontaminate.Probes([(1, item)])
+    for start in range(length - 127):
+        part = item[start : start + 128]
+        assert probes.matches(f"{some(50)}|{part}|{some(50)}") == [(1, 51, 179, 0)]
+        if start % 7 == 0:
+            wrong = [*part]
+            for at in (5, 30, 55, 80, 100, 120):
+                wrong[at] = "?"
+            assert [m[0] for m in probes.matches(some(20) + "|" + "".join(wrong) + "|" + some(20))] == [1]
+            wrong[64] = "?"
+            assert probes.matches(some(20) + "|" + "".join(wrong) + "|" + some(20)) == []
+
+
 def test_op6_counts(spark, texts):
     for _, text in [*texts, (0, None), (1, ""), (2, "a b c"), (3, "a b c a b c\n\na b c\na b c")]:
         counts = dict(zip(quality_rules.COUNTS, quality_rules.text_counts(text)))
