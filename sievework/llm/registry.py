@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sievework.llm import bpe, decontaminate, html_text, line_dedup, ngram_join, pii, quality_rules, secret_scan, suffix_dedup, token_store
+from sievework.llm import bpe, decontaminate, html_text, line_dedup, mixing, ngram_join, pii, quality_rules, secret_scan, suffix_dedup, token_store
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -16,9 +16,10 @@ QUERIES = {
     "op8_secret_scan": secret_scan.op8_secret_scan,
     "op9_token_store": token_store.op9_token_store,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_mixing": mixing.op11_mixing,
     "pipeline": corpus_pipeline.run,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op11_mixing": mixing.OP11_SQL}
 
 
 def queries():
