@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sievework.llm import bpe, decontaminate, html_text, line_dedup, merkle, mixing, ngram_join, pii, quality_rules, secret_scan, suffix_dedup, token_store
+from sievework.llm import bpe, decontaminate, html_text, line_dedup, merkle, mixing, ngram_join, pii, prefix_trie, quality_rules, secret_scan, suffix_dedup, token_store
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -18,9 +18,10 @@ QUERIES = {
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_mixing": mixing.op11_mixing,
     "op12_merkle": merkle.op12_merkle,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
     "pipeline": corpus_pipeline.run,
 }
-SQL: dict[str, str] = {"op11_mixing": mixing.OP11_SQL, "op12_merkle": merkle.OP12_SQL}
+SQL: dict[str, str] = {"op11_mixing": mixing.OP11_SQL, "op12_merkle": merkle.OP12_SQL, "op13_prefix_trie": prefix_trie.OP13_SQL}
 
 
 def queries():
