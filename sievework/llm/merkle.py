@@ -59,13 +59,13 @@ def leaf(fields: Iterable[Column]) -> Column:
     return F.sha2(F.concat(*[field(c) for c in fields]), 256)
 
 
-def climb(digests: list[str], whole: bool) -> list[list[str]]:
-    """The levels above and with ``digests``: up to one node, or LEVELS levels if they are part of more leaves."""
-    levels = [digests]
-    while len(levels) <= LEVELS if not whole else len(levels[-1]) > 1:
-        below = levels[-1]
-        levels.append([_hash(below[i : i + FANOUT]) for i in range(0, len(below), FANOUT)])
-    return levels
+def climb(digests: list[str], whole: bool, fanout: int = FANOUT, levels: int = LEVELS) -> list[list[str]]:
+    """``digests`` and the levels above: up to one node if they are a whole tree, else ``levels`` of them."""
+    climbed = [digests]
+    while len(climbed[-1]) > 1 if whole else len(climbed) <= levels:
+        below = climbed[-1]
+        climbed.append([_hash(below[i : i + fanout]) for i in range(0, len(below), fanout)])
+    return climbed
 
 
 def _hash(digests: Iterable[str]) -> str:
@@ -96,7 +96,7 @@ def _partners(first: Column, size: Column, place: Column, own_size: Column) -> C
     return F.when(place < size, F.transform(told, lambda i: first + i)).otherwise(F.array().cast("array<bigint>"))
 
 
-def exchange(lanes: DataFrame, sources: DataFrame) -> DataFrame:
+def exchange(lanes: DataFrame, sources: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """Butterfly rounds over ``lanes`` (_LANE): first inside each source, then over the sources.
 
     ``sources``: rank, low (its first lane), parts. Lanes are numbered through, source after source.
@@ -105,36 +105,37 @@ def exchange(lanes: DataFrame, sources: DataFrame) -> DataFrame:
     width = 1
     while width < (most or 0):
         block = F.expr(f"part div {width}")
-        first = F.expr(f"part div {width * FANOUT} * {FANOUT}")
-        last = F.least(first + FANOUT, F.expr(f"(parts + {width - 1}) div {width}")) - 1
+        first = F.expr(f"part div {width * fanout} * {fanout}")
+        last = F.least(first + fanout, F.expr(f"(parts + {width - 1}) div {width}")) - 1
         size = lambda b, w=width: F.least(F.lit(w), F.col("parts") - b * w)
         place = F.col("part") % width
         told = F.flatten(F.transform(F.sequence(first, last), lambda b: F.when(  # noqa: B023
             b == block, F.array("lane")).otherwise(_partners(F.col("low") + b * width, size(b), place, size(block)))))  # noqa: B023
         active = F.col("parts") > width
-        swapped = _merged(lanes.where(active).withColumn("turn", block % FANOUT), told)
+        swapped = _merged(lanes.where(active).withColumn("turn", block % fanout), told)
         lanes = staged(lanes.where(~active).unionByName(swapped), "lanes")
-        width *= FANOUT
+        width *= fanout
     lanes = lanes.withColumn("subroot", F.col("digest"))
     width = 1
     while width < (count or 0):
         blocks = sources.groupBy(F.expr(f"rank div {width}").alias("block")).agg(F.min("low").alias("first"), F.sum("parts").alias("size"))
-        blocks = staged(blocks.withColumn("run", F.expr(f"block div {FANOUT}")), "blocks")
+        blocks = staged(blocks.withColumn("run", F.expr(f"block div {fanout}")), "blocks")
         # few blocks make a run: what each of its blocks must know of the others
         run = blocks.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("block", "first", "size"))).alias("blocks"))
-        held = lookup_join(lanes.withColumn("block", F.expr(f"rank div {width}")).withColumn("run", F.expr(f"block div {FANOUT}")), run, "run")
+        held = lookup_join(lanes.withColumn("block", F.expr(f"rank div {width}")).withColumn("run", F.expr(f"block div {fanout}")), run, "run")
         mine = F.filter("blocks", lambda b: b["block"] == F.col("block"))[0]
         place = F.col("lane") - mine["first"]
         told = F.flatten(F.transform("blocks", lambda b: F.when(  # noqa: B023
             b["block"] == F.col("block"), F.array("lane")).otherwise(_partners(b["first"], b["size"], place, mine["size"]))))  # noqa: B023
-        swapped = held.withColumn("turn", F.col("block") % FANOUT).withColumn("partners", told)
+        swapped = held.withColumn("turn", F.col("block") % fanout).withColumn("partners", told)
         lanes = staged(_merged(swapped.drop("block", "run", "blocks"), F.col("partners")), "lanes")
-        width *= FANOUT
+        width *= fanout
     return lanes
 
 
 def manifest(docs: DataFrame, key: str = "doc_id", source: str = "source", fields: tuple[str, ...] = FIELDS,
-             tampered: dict[str, Column] | None = None, with_proof: bool = False) -> DataFrame:
+             tampered: dict[str, Column] | None = None, with_proof: bool = False,
+             fanout: int = FANOUT, levels: int = LEVELS) -> DataFrame:
     """Per row: ``_doc, leaf, subroot, root, proof_sha256, folded_root, verified`` (and ``proof``).
 
     ``tampered`` replaces fields of a second reading of the rows, whose leaves are folded to
@@ -149,7 +150,7 @@ def manifest(docs: DataFrame, key: str = "doc_id", source: str = "source", field
         F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_source"), leaf(F.col(c) for c in fields).alias("leaf"), leaf(second).alias("seen"),
     )
     leaves = running(staged(leaves, "leaves"), _SOURCE, ["_doc", "leaf", "seen"])
-    span = FANOUT**LEVELS
+    span = fanout**levels
     leaves = leaves.withColumn("part", F.expr(f"before div {span}")).withColumn("at", (F.col("before") % span).cast("int"))
     sizes = leaves.groupBy(*_SOURCE).agg(F.max("before").alias("last"))
     leaves = staged(leaves.drop("before"), "placed")
@@ -159,7 +160,7 @@ def manifest(docs: DataFrame, key: str = "doc_id", source: str = "source", field
 
     def root_of(own: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         digests = rows.sort_values("at")["leaf"].tolist()
-        top = climb(digests, whole=own[3] == 1)[-1]
+        top = climb(digests, own[3] == 1, fanout, levels)[-1]
         return pd.DataFrame([[*own, top[0]]], columns=[*_SOURCE, "part", "parts", "digest"])
 
     named = lookup_join(leaves, sources.select(*_SOURCE, "parts"), _SOURCE, settled=True)
@@ -167,24 +168,24 @@ def manifest(docs: DataFrame, key: str = "doc_id", source: str = "source", field
     roots = lookup_join(roots.drop("parts"), sources, _SOURCE, settled=True)
     none = F.array().cast("array<struct<own:int,run:array<string>>>")
     lanes = roots.select((F.col("low") + F.col("part")).alias("lane"), "rank", "part", "parts", "low", "digest", F.lit(None).cast("string").alias("subroot"), none.alias("path"))
-    done = exchange(staged(lanes, "lanes"), sources)
+    done = exchange(staged(lanes, "lanes"), sources, fanout)
     upper = done.join(sources.select(*_SOURCE, "rank"), "rank").select(*_SOURCE, "part", "parts", "subroot", F.col("digest").alias("root"), "path")
 
     def proofs(rows: pd.DataFrame, top: pd.DataFrame) -> pd.DataFrame:
         rows, (top,) = rows.sort_values("at"), top.itertuples(index=False)
-        levels = climb(rows["leaf"].tolist(), whole=top.parts == 1)[:-1]
+        below = climb(rows["leaf"].tolist(), top.parts == 1, fanout, levels)[:-1]
         above = [(step["own"], [str(x) for x in step["run"]]) for step in top.path]
         shared = "".join(x for own, run in above for i, x in enumerate(run) if i != own)
         sums, folded, paths = [], [], []
         for at, seen in enumerate(rows["seen"]):
             text, digest, path = [], seen, []
-            for level in levels:
-                start = at - at % FANOUT
-                before, after = level[start:at], level[at + 1 : start + FANOUT]
+            for level in below:
+                start = at - at % fanout
+                before, after = level[start:at], level[at + 1 : start + fanout]
                 text += [*before, *after]
                 path.append((at - start, [*before, *after]))
                 digest = _hash([*before, digest, *after])
-                at //= FANOUT
+                at //= fanout
             for own, run in above:
                 digest = _hash([*run[:own], digest, *run[own + 1 :]])
             sums.append(_hash([*text, shared]))

@@ -91,9 +91,9 @@ def prefixes(turns: DataFrame) -> DataFrame:
     )
 
 
-def width_of(rows: int) -> int:
+def width_of(rows: int, widest: int = WIDEST) -> int:
     """Counters of a row of the sketch: a power of two."""
-    return min(WIDEST, 1 << max(12, (COUNTERS * rows - 1).bit_length() if rows else 0))
+    return min(widest, 1 << max(12, (COUNTERS * rows - 1).bit_length() if rows else 0))
 
 
 def counters(k1: np.ndarray, k2: np.ndarray, width: int) -> list[np.ndarray]:
@@ -102,9 +102,9 @@ def counters(k1: np.ndarray, k2: np.ndarray, width: int) -> list[np.ndarray]:
     return [(W.mix(k1 ^ (W.mix(k2 + np.uint64(2 * r + 1)))) >> keep).astype(np.int64) for r in range(ROWS)]
 
 
-def screened(keys: DataFrame, rows: int) -> DataFrame:
+def screened(keys: DataFrame, rows: int, widest: int = WIDEST) -> DataFrame:
     """``keys`` (with k1, k2) and ``single``: whether the sketch proves that a key occurs once."""
-    width = width_of(rows)
+    width = width_of(rows, widest)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def slices(held):
@@ -197,7 +197,8 @@ def ends(rows: DataFrame) -> DataFrame:
     return joined.repartition(*_KEY).sortWithinPartitions(*order).mapInArrow(digests, f"{kinds}, ends_sha256 string")
 
 
-def trie(conversations: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def trie(conversations: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
+         widest: int = WIDEST) -> DataFrame:
     """One row per node: ``conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256``."""
     W.ship(conversations.sparkSession)
     who, said = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (role, text))
@@ -208,7 +209,7 @@ def trie(conversations: DataFrame, key: str = "conv_id", turn: str = "turn", rol
     turns = running(staged(narrow, "turns"), ["conv"], ["turn", "digest"]).select("conv", F.col("before").alias("place"), "digest", "words")
     every, convs = rebuilt(staged(turns, "ordered"))
     rows = staged(prefixes(staged(every, "rebuilt")), "prefixes")
-    rows = staged(screened(rows, rows.count()), "screened")
+    rows = staged(screened(rows, rows.count(), widest), "screened")
     cuts = rows.groupBy("conv").agg(F.min(F.when(F.col("single"), F.col("depth"))).alias("cut"))
     cuts = staged(convs.join(cuts, "conv", "left").withColumn("cut", F.coalesce("cut", F.col("length") + 1)), "cuts")
     rows = lookup_join(rows.drop("single"), cuts.select("conv", "cut"), "conv", settled=True)
