@@ -458,6 +458,7 @@ def oracle_sql() -> dict[str, str]:
                 select 1 from documents d where d.doc_id = l.doc_id and d.lang = 'en')
         """,
         "csv_ingest": "select doc_id, n_chars, md5(text) as digest from documents where lang = 'en'",
+        "csv_ranges_ingest": "select doc_id, source, n_chars, md5(text) as digest from documents",
         "incremental_ingest": "select doc_id, n_chars, md5(text) as digest from documents where lang = 'en'",
         "ingest_music": """
             select doc_id as id, source as title, 1999::bigint as year, n_chars as views, md5(text) as digest

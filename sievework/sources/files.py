@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions.numbers import nan_to_null
+from sievework.sources.csv_ranges import csv_records
 
 
 # Texts that a CSV file may hold for a missing value.
@@ -39,12 +40,17 @@ def scan_csv(
 
     Only these columns are parsed. The texts in ``missing`` are missing values.
     A value that does not fit its type is missing, or an error if ``strict``. A
-    file whose header differs from the first one's is an error. Quoted fields may hold line breaks; such a file is read by one
-    task, so land large data as many files or, when no field holds a line
-    break, set ``multiline=False`` to have files split.
+    file whose header differs from the first one's is an error. Quoted fields may
+    hold line breaks; files are split all the same (``csv_records``), at the
+    price of a first pass over quotes, which ``multiline=False`` saves when no
+    field holds a line break.
     """
     reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("enforceSchema", False)
     raw = reader.option("multiLine", multiline).csv(path)
+    if multiline:
+        fields = ", ".join(f"`{c.replace('`', '``')}` string" for c in raw.columns)
+        parsed = F.from_csv("record", fields, {"quote": '"', "escape": '"', "multiLine": "true"})
+        raw = csv_records(spark, path).select(parsed.alias("row")).select("row.*")
     absent = [c for c in columns if c not in raw.columns]
     if absent:
         raise ValueError(f"columns not in {path}: {absent}")
