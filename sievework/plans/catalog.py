@@ -513,6 +513,13 @@ def arff_header_lines(spark, folder):
     return arff.header_lines(arff_parts(spark, folder), PART_ARFF)
 
 
+def arff_round_trip(spark, folder):
+    """Parts written as ARFF and read back with the header's types and domains."""
+    path = scratch_path(spark, "arff")
+    arff.dataframe_as_arff(arff_parts(spark, folder), PART_ARFF, path, missing="?")
+    return arff.scan_arff(spark, path)
+
+
 # ---- configured preparation ----------------------------------------------
 
 LINE_CONFIG = {
@@ -637,5 +644,6 @@ def queries() -> dict[str, Query]:
         "arff_body": arff_body,
         "arff_header": arff_header,
         "arff_header_lines": arff_header_lines,
+        "arff_round_trip": arff_round_trip,
         "prepare_lineitem": prepare_lineitem,
     }

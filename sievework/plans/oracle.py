@@ -570,6 +570,10 @@ def oracle_sql() -> dict[str, str]:
             select {label('p_partkey')} as p_partkey, p_brand, p_type, {label('p_size')} as p_size,
                 p_retailprice as retail_price from part
         """,
+        "arff_round_trip": f"""
+            select {label('p_partkey')} as p_partkey, p_brand, p_type, {label('p_size')} as p_size,
+                p_retailprice as retail_price from part
+        """,
         "arff_header": ARFF_HEADER + "select * from header",
         "arff_header_lines": ARFF_HEADER + """
             select attr_pos + 2 as line_no, concat_ws(' ', '@ATTRIBUTE', name, coalesce(domain, type)) as value

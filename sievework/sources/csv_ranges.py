@@ -89,7 +89,8 @@ def range_effects(batches: Iterator[pa.RecordBatch], separator: str) -> dict[tup
     return held
 
 
-def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def ranged_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``file, at, line``: the lines of text files in order within each range, known by file and start."""
     lines = spark.read.option("lineSep", "\n").text(path)
     return lines.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.col("value").cast("binary").alias("line"))
 
@@ -129,8 +130,8 @@ def _rows(key, kind, first, records):
     )
 
 
-def split(batches: Iterator[pa.RecordBatch], inside: set[tuple[int, int]], separator: str, edges: bool) -> Iterator[pa.RecordBatch]:
-    """From lines (file, at, line) the whole records of every range, or its edges and a file's first record.
+def split(batches: Iterator[pa.RecordBatch], inside: set[tuple[int, int]], separator: str, edges: bool, header: bool = True) -> Iterator[pa.RecordBatch]:
+    """From lines (file, at, line) the whole records of every range, or its edges and, with ``header``, a file's first record.
 
     ``inside`` has the ranges that begin inside quotes.
     """
@@ -153,7 +154,7 @@ def split(batches: Iterator[pa.RecordBatch], inside: set[tuple[int, int]], separ
         for own, part in _runs(batch):
             if own != key:
                 yield from left()
-                key, open_, first = own, [], own[1] == 0
+                key, open_, first = own, [], header and own[1] == 0
                 headless = now = own in inside
             at = states(line_effects(part, separator), now)
             starts, now = np.flatnonzero(~at[:-1]), bool(at[-1])
@@ -176,9 +177,9 @@ def split(batches: Iterator[pa.RecordBatch], inside: set[tuple[int, int]], separ
     yield from left()
 
 
-def _split(lines: DataFrame, inside: set[tuple[int, int]], separator: str, edges: bool) -> DataFrame:
+def _split(lines: DataFrame, inside: set[tuple[int, int]], separator: str, edges: bool, header: bool) -> DataFrame:
     known = lines.sparkSession.sparkContext.broadcast(inside)
-    return lines.mapInArrow(lambda batches: split(batches, known.value, separator, edges), _SHAPE)
+    return lines.mapInArrow(lambda batches: split(batches, known.value, separator, edges, header), _SHAPE)
 
 
 def csv_records(spark: SparkSession, path: str | list[str], separator: str = ",") -> DataFrame:
@@ -186,17 +187,21 @@ def csv_records(spark: SparkSession, path: str | list[str], separator: str = ","
 
     The order of files and records is not kept.
     """
-    lines = _lines(spark, path)
+    return line_records(ranged_lines(spark, path), separator)
+
+
+def line_records(lines: DataFrame, separator: str = ",", header: bool = True) -> DataFrame:
+    """The records of ``ranged_lines``; with ``header`` without each file's first, else all of them."""
     inside = inside_ranges(lines, separator)
-    edges = staged(_split(lines, inside, separator, True), "csv-edges")
+    edges = staged(_split(lines, inside, separator, True, header), "csv-edges")
     plain = lambda c: F.regexp_replace(F.col(c).cast("string"), "\r$", "").alias(c)
     chain = Window.partitionBy("file").orderBy("at", "kind")
     opened = edges.where(F.col("kind") != WHOLE).withColumn("chain", F.sum((F.col("kind") == TAIL).cast("int")).over(chain))
     pieces = F.array_sort(F.collect_list(F.struct("at", "kind", F.col("record").cast("string").alias("text"))))
     met = opened.groupBy("file", "chain").agg(F.bool_or("first").alias("first"), F.array_join(F.transform(pieces, lambda p: p["text"]), "\n").alias("record"))
     met = met.unionByName(edges.where(F.col("kind") == WHOLE).select("file", F.lit(0).alias("chain"), "first", F.col("record").cast("string").alias("record")))
-    header = met.where("first").select(F.regexp_replace("record", "^\ufeff|\r$", "").alias("record")).distinct().limit(2).collect()
-    if len(header) > 1:
-        raise ValueError(f"files below {path} have different headers")
-    records = _split(lines, inside, separator, False).select(plain("record"))
+    firsts = met.where("first").select(F.regexp_replace("record", "^\ufeff|\r$", "").alias("record")).distinct()
+    if header and firsts.limit(2).count() > 1:
+        raise ValueError("the files have different headers")
+    records = _split(lines, inside, separator, False, header).select(plain("record"))
     return records.unionByName(met.where("not first").select(plain("record"))).where("record <> ''")
