@@ -13,6 +13,7 @@ from sievework.operators import filters, joins, metrics, naive_bayes, profile, s
 from sievework.operators.categories import count_categories, top_categories
 from sievework.operators.missing import blank_sentinels
 from sievework.operators.mutual_information import mutual_information, select_terms
+from sievework.operators.neighbour_information import neighbour_information
 from sievework.operators.order_stats import quantiles
 from sievework.plans import models, recipes
 from sievework.plans.experiment import GenreClassifier
@@ -352,6 +353,11 @@ def mutual_information_topk(spark, folder):
     return select_terms(scores, 200).select("term", rounded("mi", 8).alias("mi"))
 
 
+def neighbour_scores(spark, folder):
+    scores = neighbour_information(staged(raw_counts(spark, folder)), quality_labels(spark, folder))
+    return scores.select("term", rounded("mi", 8).alias("mi"))
+
+
 # ---- sampling (by the hash that SQL can repeat) ---------------------------
 
 def sample_n(spark, folder):
@@ -620,6 +626,7 @@ def queries() -> dict[str, Query]:
         "bag_join_label": bag_join_label,
         "source_information": source_information,
         "mutual_information_topk": mutual_information_topk,
+        "neighbour_information": neighbour_scores,
         "sample_n": sample_n,
         "split_80_20": split_80_20,
         "stratified_folds": stratified_folds,

@@ -182,6 +182,52 @@ def information(labels: str) -> str:
     """
 
 
+def psi(n: str) -> str:
+    """The digamma function of a whole number from 1."""
+    sums = ", ".join(repr(-0.5772156649015329 + sum(1 / i for i in range(1, k))) + "::double" for k in range(1, 20))
+    x = f"(1.0::double / ({n}))"
+    return f"""(case when ({n}) < 20 then [{sums}][({n})::int]
+        else ln(({n})::double) - {x} / 2 - {x} ** 2 / 12 + {x} ** 4 / 120 - {x} ** 6 / 252 + {x} ** 8 / 240 end)"""
+
+
+def nearest(labels: str) -> str:
+    """CTEs ending in ``scores (term, mi)``: every cell against every cell of its term, count 0 included."""
+    return f"""
+        all_labels as ({labels}),
+        class_n as (select label, count(*) as size from all_labels group by label having count(*) > 1),
+        cells as (
+            select term, cnt, label, count(*) as n from counts join all_labels using (id) join class_n using (label)
+            group by term, cnt, label
+        ),
+        zeros as (
+            select term, 0 as cnt, c.label, c.size - coalesce(sum(n), 0) as n
+            from (select distinct term from cells) t cross join class_n c left join cells p using (term, label)
+            group by term, c.label, c.size
+        ),
+        joint as (
+            select term, cnt, label, n, size
+            from (select term, cnt, label, n from cells union all select term, cnt, label, n from zeros where n > 0) join class_n using (label)
+        ),
+        apart as (
+            select j.term, j.label, j.cnt, j.n, j.size, abs(j.cnt - u.cnt) as d,
+                   sum(u.n) over (partition by j.term, j.label, j.cnt order by abs(j.cnt - u.cnt)) - 1 as k
+            from joint j join joint u on u.term = j.term and u.label = j.label
+        ),
+        reach as (
+            select term, label, cnt, n, min(d) as radius, min(k) as k from apart where k >= least(3, size - 1) group by all
+        ),
+        around as (
+            select r.term, r.label, r.cnt, r.n, r.k, sum(u.n) - 1 as m
+            from reach r join joint u on u.term = r.term and abs(u.cnt - r.cnt) <= radius group by all
+        ),
+        total as (select sum(size) as n, sum(size * {psi("size")}) as part from class_n),
+        scores as (
+            select term, greatest({psi("any_value(total.n)")} + (sum(a.n * ({psi("k")} - {psi("m")})) - any_value(part)) / any_value(total.n), 0.0) as mi
+            from around a, total group by term
+        )
+    """
+
+
 SPLIT_LABELS = f"""
     hashed as (select doc_id as id, source as label, {hashed(42, 'doc_id')} as h from ({ASCII_DOCS})),
     split as (
@@ -495,6 +541,10 @@ def oracle_sql() -> dict[str, str]:
             select term, round(mi, 8) + 0.0 as mi from (
                 select * from scores order by round(mi, 12) desc, term limit 200)
         """,
+        "neighbour_information": f"""
+            with {COUNTS}, {nearest(quality)}
+            select term, round(mi, 8) + 0.0 as mi from scores
+        """,
         "sample_n": f"select doc_id, lang from documents order by {hashed(42, 'doc_id')}, doc_id limit 150",
         "split_80_20": f"""
             select o_orderkey, row_number() over (order by {hashed(42, 'o_orderkey')})

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.operators import metrics, naive_bayes, sampling
 from sievework.operators.mutual_information import mutual_information, select_terms
+from sievework.operators.neighbour_information import digamma, neighbour_information
 
 DOCS = {1: "a a b", 2: "a c", 3: "b b c", 4: "c", 5: "", 6: "a d d d", 7: "b d"}
 LABELS = {1: "x", 2: "x", 3: "y", 4: "y", 5: "z", 6: "x", 7: "z"}
@@ -115,3 +116,50 @@ def test_folds_are_stratified(spark):
     for label in ("a", "b", None):
         per_fold = [sizes.get((label, f), 0) for f in range(5)]
         assert max(per_fold) - min(per_fold) <= 1
+
+
+def psi(n):
+    return -0.5772156649015329 + math.fsum(1 / i for i in range(1, n))
+
+
+def plain_neighbour_information(values, classes, neighbours):
+    """Document by document; ties at the k-th distance count on both sides."""
+    keep = [i for i, c in enumerate(classes) if classes.count(c) > 1]
+    total, n = 0.0, len(keep)
+    for i in keep:
+        own = sorted(abs(values[i] - values[j]) for j in keep if j != i and classes[j] == classes[i])
+        radius = own[min(neighbours, len(own)) - 1]
+        k = sum(d <= radius for d in own)
+        m = sum(abs(values[i] - values[j]) <= radius for j in keep if j != i)
+        total += psi(k) - psi(m) - psi(len(own) + 1)
+    return max(0.0, psi(n) + total / n)
+
+
+def test_digamma(spark):
+    numbers = [1, 2, 3, 15, 16, 17, 100, 12345]
+    found = spark.createDataFrame([(n,) for n in numbers], "n bigint").select("n", digamma(F.col("n")).alias("p")).collect()
+    assert {r.n: r.p for r in found} == pytest.approx({n: psi(n) for n in numbers}, abs=1e-12)
+
+
+@pytest.mark.parametrize("neighbours", [1, 3])
+def test_neighbour_information_is_that_of_the_documents(spark, neighbours):
+    rng = random.Random(neighbours)
+    classes = [rng.choice("aaabbcd") for _ in range(80)] + ["single", "pair", "pair"]
+    terms = {
+        "often": [rng.randrange(6) for _ in classes],
+        "telling": [rng.randrange(3) + 9 * (c == "a") for c in classes],
+        "apart": [i * i for i in range(len(classes))],  # no two distances are equal: the published estimator
+        "rare": [int(i == 3) for i in range(len(classes))],
+        "in a": [int(c == "a") for c in classes],
+    }
+    rows = [(i, t, v) for t, values in terms.items() for i, v in enumerate(values) if v]
+    counts = spark.createDataFrame(rows, "id int, term string, cnt int")
+    labels = spark.createDataFrame(list(enumerate(classes)), "id int, label string")
+    got = {r.term: r.mi for r in neighbour_information(counts, labels, neighbours).collect()}
+    assert got == pytest.approx({t: plain_neighbour_information(v, classes, neighbours) for t, v in terms.items()}, abs=1e-10)
+    assert got["telling"] > got["often"]
+
+
+def test_neighbour_information_of_no_documents(spark):
+    counts = spark.createDataFrame([(1, "a", 2)], "id int, term string, cnt int")
+    assert neighbour_information(counts, spark.createDataFrame([(1, "x")], "id int, label string")).collect() == []
