@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.numbers import nonnull_count, portable_hash, repair_short_year
 from sievework.functions.text import is_ascii, quoted_tokens, split_parts
-from sievework.operators import filters, joins, metrics, naive_bayes, profile, sampling, terms
+from sievework.operators import filters, joins, metrics, naive_bayes, one_vs_rest, profile, sampling, terms
 from sievework.operators.categories import count_categories, top_categories
 from sievework.operators.missing import blank_sentinels
 from sievework.operators.mutual_information import mutual_information, select_terms
@@ -442,6 +442,27 @@ def soft_vote(spark, folder):
     return models.soft_vote(train).transform(test).select("id", "label", "prediction", "probability")
 
 
+def ovr_optimum(spark, folder):
+    """The gradient at the fitted one-vs-rest weights, from term counts: zero at the best weights, as each class's problem is convex."""
+    prepared = quality_experiment(spark, folder).prepare(spark)
+    indexer = models.index_labels(prepared.documents, "label")
+    documents = staged(indexer.transform(prepared.documents).drop("is_test"))
+    weights = one_vs_rest.fit(models.vectorize(documents, prepared.counts, prepared.terms)).weights
+    rows = [(c, i, float(w)) for c, own in enumerate(weights) for i, w in enumerate(own)]
+    weights = spark.createDataFrame(rows, "c int, number int, w double")
+    constant = prepared.terms.count()
+    cells = joins.lookup_join(joins.lookup_join(prepared.counts, prepared.terms, "term", settled=True), documents.select("id"), "id", settled=True)
+    cells = cells.select("id", "number", F.col("cnt").cast("double").alias("x"))
+    cells = staged(cells.unionByName(documents.select("id", F.lit(constant).alias("number"), F.lit(1.0).alias("x"))))
+    met = cells.join(F.broadcast(weights), "number")
+    margins = met.groupBy("id", "c").agg(F.sum(F.col("x") * F.col("w")).alias("z")).join(documents, "id")
+    factor = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("z"))) - (F.col("label_index") == F.col("c")).cast("double")
+    sums = met.join(margins.select("id", "c", factor.alias("f")), ["id", "c"]).groupBy("c", "number").agg(F.sum(F.col("x") * F.col("f")).alias("g"))
+    slope = weights.join(sums, ["c", "number"], "left").groupBy("c").agg(F.max(F.abs(F.coalesce("g", F.lit(0.0)) + F.col("w"))).alias("gradient"))
+    sizes = documents.groupBy("label", F.col("label_index").cast("int").alias("c")).agg(F.count(F.lit(1)).alias("documents"))
+    return sizes.join(slope, "c").select("label", "documents", rounded("gradient", 5).alias("gradient"))
+
+
 def experiment_scores(spark, folder):
     return quality_experiment(spark, folder).train(spark)["scores"]
 
@@ -639,6 +660,7 @@ def queries() -> dict[str, Query]:
         "dt_grid": grid(models.decision_tree, models.TREE_GRID),
         "rf_grid": grid(models.random_forest, models.FOREST_GRID),
         "soft_vote": soft_vote,
+        "ovr_optimum": ovr_optimum,
         "experiment_scores": experiment_scores,
         "kde_curve": kde_curve,
         "box_stats": box_stats,

@@ -575,6 +575,9 @@ def oracle_sql() -> dict[str, str]:
             select source as label, count(*) as n, (select count(distinct source) from documents) as classes
             from documents group by source order by n desc, source limit 10
         """,
+        "ovr_optimum": f"""
+            select label::varchar as label, count(*) as documents, 0.0::double as gradient from ({quality}) group by label
+        """,
         "kde_curve": density(),
         "box_stats": """
             with q as (

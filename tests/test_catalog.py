@@ -7,11 +7,11 @@ import pytest
 sys.path.insert(0, "tools")
 
 import __spark_entry__ as entry  # noqa: E402
-from sievework.plans import catalog  # noqa: E402
+from sievework.plans import catalog, oracle  # noqa: E402
 from tools.check_queries import TABLES, canonical  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = catalog.queries(), oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
