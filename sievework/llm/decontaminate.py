@@ -1,17 +1,17 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
 Benchmark texts and documents are compared with A-Z lower-cased and white space
-runs as one space. A benchmark text is a probe if it has at most WHOLE
-characters; of one with more than PROBE characters each part of PROBE characters,
-from every place on, is a probe too, so a leaked part is found wherever it was
-cut. A probe of m characters with k = m * EDIT_PERCENT // 100 edits keeps at least
+runs as one space. A benchmark text of any length is a probe as a whole; of one
+with more than PROBE characters each part of PROBE characters, from every place
+on, is a probe too, so a leaked part is found wherever it was cut. A probe of m characters with k = m * EDIT_PERCENT // 100 edits keeps at least
 m + 1 - q (k + 1) of its q-grams, on diagonals at most 2 k apart. So q-grams
 shared with a document are counted in overlapping diagonal bands, over the whole
 text; the parts of a band that reach the bound are verified by banded alignment,
-all places of a text at once. A text that matches as a whole is reported so.
+all places of a text at once; a part whose q-grams all lie in a row on one
+diagonal is there without an edit and needs none. A text that matches as a whole is reported so.
 
 Probes shorter than SHORT characters allow no edit; those shorter than q are
-looked up as they are. NULL, empty and blank benchmark texts match nothing, nor
+looked up as they are, between characters that are no letters or digits. NULL, empty and blank benchmark texts match nothing, nor
 do NULL or empty documents. Repeated benchmark rows give one match per item id.
 The benchmark is broadcast in blocks of a fixed size; each block sees all documents.
 """
@@ -27,7 +27,7 @@ from sievework.llm import words as W
 
 Q = 12
 EDIT_PERCENT = 5
-WHOLE, PROBE, SHORT = 160, 128, 40
+PROBE, SHORT = 128, 40
 #: Characters of benchmark text broadcast at once.
 BLOCK_CHARS = 4_000_000
 SEGMENT = 1 << 20
@@ -59,7 +59,7 @@ class Probes:
 
     def __init__(self, items: list[tuple[int, str]]):
         texts = [(i, p) for i, p in ((i, normal(t)[0]) for i, t in items) if len(p)]
-        whole = [(n, len(p)) for n, (_, p) in enumerate(texts) if len(p) <= WHOLE]
+        whole = [(n, len(p)) for n, (_, p) in enumerate(texts)]
         parts = [(n, PROBE) for n, (_, p) in enumerate(texts) if len(p) > PROBE]
         self.text = [n for n, _ in whole + parts]
         self.span = np.array([m for _, m in whole + parts], np.int64)
@@ -85,8 +85,10 @@ class Probes:
         texts: dict[int, tuple[bool, int, int, int]] = {}
         for start in range(0, max(len(points), 1), SEGMENT):
             part = points[start : start + SEGMENT + self.reach]
-            for probe, band, places in self._bands(part):
-                found = self._align(probe, band, places, part)
+            bands, exact = self._bands(part)
+            found_at = [(p, found) for p, found in exact.items()]
+            found_at += [(p, self._align(p, band, places, part)) for p, band, places in bands if p not in exact]
+            for probe, found in found_at:
                 if found:
                     cut = int(self.span[probe]) < len(self.points[probe])
                     new = cut, found[2], found[0] + start, found[1] + start
@@ -101,8 +103,11 @@ class Probes:
                 best[names[text]] = (s, e, edits)
         return sorted((item, int(at[s]), int(at[e - 1]) + 1, edits) for item, (s, e, edits) in best.items())
 
-    def _bands(self, points: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
-        """(probe, band, places of the probe's parts) that hold enough shared q-grams; band j covers diagonals j * step to (j + 2) * step."""
+    def _bands(self, points: np.ndarray) -> tuple[list[tuple[int, int, np.ndarray]], dict[int, tuple[int, int, int]]]:
+        """(probe, band, places of the probe's parts) that hold enough shared q-grams; band j covers diagonals j * step to (j + 2) * step.
+
+        Also (start, end, 0) of each probe's first part that is there without an edit.
+        """
         grams = _grams(points, Q)
         near = np.flatnonzero(self.seen[grams >> np.uint64(42)])
         low, high = (np.searchsorted(self.hashes, grams[near], side) for side in ("left", "right"))
@@ -110,6 +115,7 @@ class Probes:
         hit = np.repeat(near, times)
         entry = np.repeat(low - np.cumsum(times) + times, times) + np.arange(len(hit))
         probe, place = self.owner[entry], self.place[entry]
+        exact = self._exact(points, probe, place, hit - place)
         band = (hit - place) // self.step[probe]
         both = np.concatenate((band, band - 1))
         probe, place = np.tile(probe, 2), np.tile(place, 2)
@@ -139,8 +145,31 @@ class Probes:
         for probe in self.tiny:
             own = self.points[probe]
             at = np.flatnonzero(points[: max(0, len(points) - len(own) + 1)] == own[0])
-            found += [(probe, int(p), np.zeros(1, np.int64)) for p in at if np.array_equal(points[p : p + len(own)], own)][:1]
-        return found
+            ends = at + len(own)
+            apart = [p for p, e in zip(at.tolist(), ends.tolist()) if np.array_equal(points[p:e], own) and self._apart(points, p, e)]
+            exact |= {probe: (p, p + len(own), 0) for p in apart[:1]}
+        return found, exact
+
+    @staticmethod
+    def _apart(points: np.ndarray, start: int, end: int) -> bool:
+        """Whether no letter or digit goes on before the start or after the end where one stands inside."""
+        word = lambda i: 0 <= i < len(points) and chr(points[i]).isalnum()
+        return not (word(start - 1) and word(start)) and not (word(end - 1) and word(end))
+
+    def _exact(self, points: np.ndarray, probe: np.ndarray, place: np.ndarray, diagonal: np.ndarray) -> dict[int, tuple[int, int, int]]:
+        """Of every probe with a part that is in the text as it is, the first such place, from runs of q-grams on a diagonal."""
+        order = np.lexsort((place, diagonal, probe))
+        probe, place, diagonal = probe[order], place[order], diagonal[order]
+        last = np.arange(len(probe)) + self.span[probe] - Q  # the part's last q-gram, if all are there
+        first = np.flatnonzero(last < len(probe))
+        last = last[first]
+        whole = (probe[first] == probe[last]) & (diagonal[first] == diagonal[last]) & (place[last] - place[first] == self.span[probe[first]] - Q)
+        out: dict[int, tuple[int, int, int]] = {}
+        for i in first[whole][np.lexsort(((place + diagonal)[first[whole]], probe[first[whole]]))].tolist():
+            p, s, m = int(probe[i]), int(place[i] + diagonal[i]), int(self.span[probe[i]])
+            if p not in out and np.array_equal(points[s : s + m], self.points[p][place[i] : place[i] + m]):
+                out[p] = s, s + m, 0
+        return out
 
     def _align(self, probe: int, band: int, places: np.ndarray, points: np.ndarray) -> tuple[int, int, int] | None:
         """Banded alignment of the parts at these places: (start, end, edits) of the best one within its budget, the earliest of equals."""
@@ -152,7 +181,7 @@ class Probes:
             text[a - low : b - low] = points[a:b]
         near = np.lib.stride_tricks.sliding_window_view(text, width)
         best = None
-        for at in range(0, len(places), 2048):
+        for at in range(0, len(places), 2048):  # places of one probe
             some = places[at : at + 2048]
             cost, _ = self._costs(own, span, near, some, None)
             least = cost.min(1)
@@ -174,19 +203,20 @@ class Probes:
     def _costs(own: np.ndarray, span: int, near: np.ndarray, places: np.ndarray, low: int | None) -> tuple[np.ndarray, np.ndarray | None]:
         """Edits of each part (row) by the diagonal where it ends, and, given the lowest diagonal, where it begins in the document."""
         width = near.shape[1]
-        steps = np.arange(width, dtype=np.int16)
-        far = np.int16(span + 1)
-        cost = np.zeros((len(places), width), np.int16)
+        kind = np.int16 if span + 2 * width < 1 << 14 else np.int32
+        steps = np.arange(width, dtype=kind)
+        far = kind(span + 1)
+        cost = np.zeros((len(places), width), kind)
         skip = np.full_like(cost, far)
         begin = None if low is None else places[:, None] + low + np.arange(width)
         for i in range(span):
             match = cost + (near[places + i] != own[places + i, None])
-            skip[:, :-1] = cost[:, 1:] + np.int16(1)
+            skip[:, :-1] = cost[:, 1:] + kind(1)
             value = np.minimum(match, skip) - steps
             floor = np.minimum.accumulate(value, axis=1)
             if begin is not None:
                 source = np.where(match <= skip, begin, np.concatenate((begin[:, 1:], begin[:, -1:]), axis=1))
-                origin = np.maximum.accumulate(np.where(value == floor, steps, np.int16(-1)), axis=1)
+                origin = np.maximum.accumulate(np.where(value == floor, steps, kind(-1)), axis=1)
                 begin = np.take_along_axis(source, origin.astype(np.int64), axis=1)
             cost = floor + steps
         return cost, begin
@@ -211,8 +241,8 @@ def _with_block(rows: DataFrame, items: list[tuple[int, str]], text: str) -> Dat
 
     def search(batches):
         index = Probes(probes.value)
-        for batch in W.pieces(batches, 64):
-            bodies = batch.column(2).to_pylist()
+        for batch in W.row_groups(batches, text):
+            bodies = batch.column(0).field(text).to_pylist()
             found = [
                 (old or []) + [dict(zip(("item_id", "start", "end", "edits"), m)) for m in index.matches(body)]
                 for old, body in zip(batch.column(1).to_pylist(), bodies)
@@ -220,7 +250,7 @@ def _with_block(rows: DataFrame, items: list[tuple[int, str]], text: str) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, leak)], ["row", "leaks"])
 
     schema = f"row {rows.schema['row'].dataType.simpleString()}, leaks {rows.schema['leaks'].dataType.simpleString()}"
-    return rows.withColumn("_body", F.col(f"row.`{text}`")).mapInArrow(search, schema)
+    return rows.mapInArrow(W.lean(search), schema)
 
 
 def op5_decontaminate(spark, folder: str) -> DataFrame:

@@ -7,6 +7,8 @@ or window of a text costs a few array operations.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import zipfile
 from collections.abc import Iterator
@@ -111,6 +113,28 @@ def in_groups(batches: Iterator[pa.RecordBatch], text_column: int, most_bytes: i
             at = to
 
 
+def row_groups(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Like ``in_groups``, for batches whose first column is a struct with the text among its fields."""
+    for batch in batches:
+        sized = pa.RecordBatch.from_arrays([batch.column(0).field(text), pa.array(np.arange(batch.num_rows))], ["text", "at"])
+        for part in in_groups([sized], 0, most_bytes):
+            yield batch.slice(part.column(1)[0].as_py(), part.num_rows)
+
+
+def lean(work):
+    """A function of batches that gives memory back to the system when a task is over, as workers serve many tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def by_row(key: str, text: str = "text") -> tuple[Column, Column]:
     """Two columns that name a document row: its id (NULL below all ids) and a hash of its text.
 

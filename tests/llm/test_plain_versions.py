@@ -307,3 +307,23 @@ def test_op10_removes_near_lines(spark, texts):
 def test_op1_query_columns(spark, texts):
     done = suffix_dedup.op1_suffix_dedup(spark, SF).collect()
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in done} == brute.repeated_bytes(texts)
+
+
+@pytest.mark.parametrize("size", [150, 160, 161, 200, 700, 3000])
+def test_op5_finds_whole_texts_with_edits_in_their_middle(size):
+    rnd = random.Random(size)
+    own = "".join(rnd.choice("abcdefghij klmnop") for _ in range(size - 2)).replace("  ", "x ") + "zz"
+    probes = decontaminate.Probes([(7, "z" + own)])
+    edits = len(own) * 5 // 100 - 3
+    middle = len(own) // 2
+    changed = own[: middle - edits] + "".join("#" if i % 2 else c for i, c in enumerate(own[middle - edits : middle + edits])) + own[middle + edits :]
+    for text in ("before it " + changed + " and after", changed):
+        (found,) = probes.matches(text)
+        assert found[0] == 7 and found[2] - found[1] >= size - 2 * edits - 4 and found[3] <= edits + 1
+
+
+def test_op5_short_texts_stand_alone():
+    probes = decontaminate.Probes([(1, "yes"), (2, "(a)")])
+    assert probes.matches("yesterday and eyes") == []
+    assert [m[0] for m in probes.matches("Yes, say (a)b")] == [1, 2]
+    assert [m[0] for m in probes.matches("yesterday: yes")] == [1]
