@@ -245,20 +245,20 @@ def with_tokens(docs: DataFrame, vocabulary: str | None = None, text: str = "tex
     """The rows of ``docs`` as a struct ``row``, the ids of their texts and the text decoded from them."""
     W.ship(docs.sparkSession)
     vocabulary = vocabulary or default_vocabulary()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("_body"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     schema = f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>, decoded string"
 
     def encode(batches):
         coder = encoder(vocabulary)
-        for batch in W.in_groups(batches, 1):
-            ids = coder.encode(batch.column(1).to_pylist())
+        for batch in W.row_groups(batches, text):
+            ids = coder.encode(batch.column(0).field(text).to_pylist())
             ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
             flat = pa.array(np.concatenate([np.zeros(0, np.uint32), *ids]).astype(np.int32))
             decoded = pa.array([coder.decode(x) for x in ids], pa.string())
             lists = pa.ListArray.from_arrays(pa.array(ends), flat)
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, decoded], ["row", "ids", "decoded"])
 
-    return rows.mapInArrow(encode, schema)
+    return rows.mapInArrow(W.lean(encode), schema)
 
 
 def op4_bpe(spark, folder: str, vocabulary: str | None = None) -> DataFrame:

@@ -85,7 +85,7 @@ def _lines(docs: DataFrame) -> DataFrame:
             columns = [batch.column(0).take(row), batch.column(1).take(row), pa.array(found.number.astype(np.int32)), pa.array(W.signed(whole)), pa.array(W.signed(other)), lists]
             yield pa.RecordBatch.from_arrays(columns, ["_doc", "_text", "line", "h", "g", "halves"])
 
-    return docs.mapInArrow(lines, "_doc bigint, _text bigint, line int, h bigint, g bigint, halves array<bigint>")
+    return docs.mapInArrow(W.lean(lines), "_doc bigint, _text bigint, line int, h bigint, g bigint, halves array<bigint>")
 
 
 def _deletions(docs: DataFrame) -> DataFrame:
@@ -124,7 +124,7 @@ def _deletions(docs: DataFrame) -> DataFrame:
                 columns[4] = columns[4].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "kind", "_doc", "_text", "line"])
 
-    return docs.mapInArrow(variants, "key bigint, kind tinyint, _doc bigint, _text bigint, line int")
+    return docs.mapInArrow(W.lean(variants), "key bigint, kind tinyint, _doc bigint, _text bigint, line int")
 
 
 def _without(sums: np.ndarray, start: int, end: int, at: np.ndarray, words: int) -> np.ndarray:
@@ -166,7 +166,7 @@ def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             at = pa.array([x[0] for x in out], pa.struct([("_doc", pa.int64()), ("_text", pa.int64()), ("line", pa.int32())]))
             yield pa.RecordBatch.from_arrays([at, pa.array([x[1] for x in out], pa.binary())], ["at", "words"])
 
-    return bodies.select("_doc", "_text", "body", "lines").mapInArrow(texts, "at struct<_doc:bigint,_text:bigint,line:int>, words binary")
+    return bodies.select("_doc", "_text", "body", "lines").mapInArrow(W.lean(texts), "at struct<_doc:bigint,_text:bigint,line:int>, words binary")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             near = [within_one_edit(a.split(), b.split()) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(near, pa.bool_()))], ["at"])
 
-    return joined.mapInArrow(verify, "at struct<_doc:bigint,_text:bigint,line:int>").distinct()
+    return joined.mapInArrow(W.lean(verify), "at struct<_doc:bigint,_text:bigint,line:int>").distinct()
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -215,23 +215,25 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     W.ship(docs.sparkSession)
     removed = staged(removed_lines(docs, key, text), "removed")
     names = docs.columns
-    plain = docs.select(*W.by_row(key, text), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text).alias("body"))
-    joined = _attach(plain, removed, "left").select("row", "body", "lines")
-    schema = f"row {joined.schema['row'].dataType.simpleString()}, kept string, n_lines bigint, n_removed bigint"
+    plain = docs.select(*W.by_row(key, text), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    joined = _attach(plain, removed, "left").select("row", "lines")
+    schema = f"row {joined.schema['row'].dataType.simpleString()}, n_lines bigint, n_removed bigint"
 
     def rewrite(batches):
-        for batch in batches:
+        for batch in W.row_groups(batches, text):
             kept, counts, losses = [], [], []
-            for body, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            rows = batch.column(0)
+            for body, gone in zip(rows.field(text).to_pylist(), batch.column(1).to_pylist()):
                 parts = body.split("\n") if body else []
                 drop = set(gone or ())
                 kept.append("\n".join([x for i, x in enumerate(parts) if i not in drop]) if drop else body)
                 counts.append(len(parts))
                 losses.append(len(drop))
-            arrays = [batch.column(0), pa.array(kept, pa.string()), pa.array(counts, pa.int64()), pa.array(losses, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, ["row", "kept", "n_lines", "n_removed"])
+            fields = [pa.array(kept, rows.field(c).type) if c == text else rows.field(c) for c in names]
+            arrays = [pa.StructArray.from_arrays(fields, names), pa.array(counts, pa.int64()), pa.array(losses, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["row", "n_lines", "n_removed"])
 
-    return joined.mapInArrow(rewrite, schema).withColumn("row", F.col("row").withField(f"`{text}`", F.col("kept"))).drop("kept")
+    return joined.mapInArrow(W.lean(rewrite), schema)
 
 
 def op10_line_dedup(spark, folder: str) -> DataFrame:

@@ -71,18 +71,18 @@ def text_counts(text: str | None) -> list[int]:
 def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` as a struct ``row`` beside the columns of COUNTS."""
     W.ship(docs.sparkSession)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("_body"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     kept = rows.schema["row"].dataType
     schema = f"row {kept.simpleString()}, " + ", ".join(f"{c} bigint" for c in COUNTS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = np.array([text_counts(x.as_py()) for x in batch.column(1)], np.int64).reshape(-1, len(COUNTS))
+        for batch in W.row_groups(batches, text):
+            values = np.array([text_counts(x.as_py()) for x in batch.column(0).field(text)], np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array(values[:, i]) for i in range(len(COUNTS))]], ["row", *COUNTS]
             )
 
-    return rows.mapInArrow(count, schema)
+    return rows.mapInArrow(W.lean(count), schema)
 
 
 def measures() -> dict[str, Column]:
