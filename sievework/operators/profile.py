@@ -12,6 +12,7 @@ from sievework.functions.numbers import nan_to_null
 from sievework.functions.text import ENGLISH_STOP_WORDS, cloud_words
 from sievework.operators.categories import count_categories
 from sievework.operators.order_stats import median, quantiles
+from sievework.operators.phrases import word_phrases
 
 
 def make_density_plot(df: DataFrame, column: str, points: int = 200, margin: float = 3.0) -> DataFrame:
@@ -69,12 +70,16 @@ def make_barplot(df: DataFrame, column: str, name: str | None = None, order: lis
 
 
 def make_word_cloud(
-    df: DataFrame, column: str, top: int = 200, stop_words: Iterable[str] = ENGLISH_STOP_WORDS
+    df: DataFrame, column: str, top: int = 200, stop_words: Iterable[str] = ENGLISH_STOP_WORDS, phrases: bool = False
 ) -> DataFrame:
     """The ``top`` most frequent words of a text column, stop words apart.
 
     Words are counted in lower case and in any script; numbers are left out.
+    With ``phrases`` two words that belong together count as one and plurals as
+    their singulars (see ``word_phrases``).
     """
+    if phrases:
+        return word_phrases(df, column, stop_words=stop_words).orderBy(F.desc("count"), "word").limit(top)
     terms = df.select(F.explode(cloud_words(column)).alias("word"))
     kept = terms.where(~F.col("word").isin(list(stop_words)) & ~F.col("word").rlike(r"^\p{N}+$"))
     counts = kept.groupBy("word").agg(F.count(F.lit(1)).alias("count"))

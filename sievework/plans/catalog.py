@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.numbers import nonnull_count, portable_hash, repair_short_year
 from sievework.functions.text import is_ascii, quoted_tokens, split_parts
-from sievework.operators import filters, joins, metrics, naive_bayes, one_vs_rest, profile, sampling, terms
+from sievework.operators import filters, joins, metrics, naive_bayes, one_vs_rest, phrases, profile, sampling, terms
 from sievework.operators.categories import count_categories, top_categories
 from sievework.operators.missing import blank_sentinels
 from sievework.operators.mutual_information import mutual_information, select_terms
@@ -497,6 +497,10 @@ def word_counts(spark, folder):
     return profile.make_word_cloud(files.spread_scan(table(spark, folder, "documents")), "text")
 
 
+def word_phrases(spark, folder):
+    return phrases.word_phrases(files.spread_scan(table(spark, folder, "documents")), "text")
+
+
 def summary_stats(spark, folder):
     stats = profile.get_summary_stats(table(spark, folder, "lineitem"), "l_quantity")
     return stats.select(*[rounded(c).alias(c) for c in stats.columns])
@@ -668,6 +672,7 @@ def queries() -> dict[str, Query]:
         "ordered_bars": ordered_bars,
         "top_categories": top_category_counts,
         "word_counts": word_counts,
+        "word_phrases": word_phrases,
         "summary_stats": summary_stats,
         "quantiles": price_quantiles,
         "arff_body": arff_body,

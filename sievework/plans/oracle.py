@@ -608,6 +608,54 @@ def oracle_sql() -> dict[str, str]:
             where word not in {STOP_WORDS} and not regexp_full_match(word, '\\p{{N}}+')
             group by word order by count(*) desc, word limit 200
         """,
+        "word_phrases": f"""
+            with texts as (
+                select list_filter(list_transform(regexp_extract_all(lower(text), {quoted(CLOUD_PATTERN)}), lambda w: regexp_replace(w, '''s$', '')),
+                                   lambda w: not regexp_full_match(w, '\\p{{N}}+')) as words
+                from documents
+            ),
+            spoken as (select unnest(words) as word from texts),
+            single as (select word, count(*) as n from spoken where word not in {STOP_WORDS} group by word),
+            pairs as (select unnest(list_zip(words[:-2], words[2:])) as p from texts where len(words) > 1),
+            double as (
+                select p[1] as a, p[2] as b, count(*) as n from pairs
+                where p[1] not in {STOP_WORDS} and p[2] not in {STOP_WORDS} group by all
+            ),
+            forms as (
+                select s.word, coalesce(t.word, s.word) as form, s.n
+                from single s left join single t on s.word like '%s' and s.word not like '%ss' and t.word = s.word[:-2]
+            ),
+            folded as (select form, sum(n) as n from forms group by form),
+            named as (select a || ' ' || b as phrase, n from double),
+            merged as (
+                select coalesce(t.phrase, s.phrase) as phrase, sum(s.n) as n
+                from named s left join named t on s.phrase like '%s' and s.phrase not like '%ss' and t.phrase = s.phrase[:-2]
+                group by 1
+            ),
+            placed as (
+                select m.phrase, m.n::double as c, f.form as first, g.form as second, x.n::double as c1, y.n::double as c2,
+                       (select sum(n) from single)::double as t
+                from merged m
+                join forms f on f.word = split_part(m.phrase, ' ', 1) join folded x on x.form = f.form
+                join forms g on g.word = split_part(m.phrase, ' ', 2) join folded y on y.form = g.form
+            ),
+            shares as (select *, c2 / t as p, c / c1 as p1, (c2 - c) / (t - c1) as p2 from placed where t > c1 and t > c2),
+            kept as (
+                select phrase, c::bigint as n, first, second from shares
+                where -2 * (
+                    ln(greatest(p, 1e-10)) * c + ln(greatest(1 - p, 1e-10)) * (c1 - c)
+                    + ln(greatest(p, 1e-10)) * (c2 - c) + ln(greatest(1 - p, 1e-10)) * (t - c1 - c2 + c)
+                    - ln(greatest(p1, 1e-10)) * c - ln(greatest(1 - p1, 1e-10)) * (c1 - c)
+                    - ln(greatest(p2, 1e-10)) * (c2 - c) - ln(greatest(1 - p2, 1e-10)) * (t - c1 - c2 + c)
+                ) > 30
+            ),
+            taken as (select form, sum(n) as n from (select first as form, n from kept union all select second, n from kept) group by form),
+            counted as (
+                select f.form as word, (f.n - coalesce(taken.n, 0))::bigint as "count" from folded f left join taken using (form)
+                union all select phrase, n from kept
+            )
+            select * from counted where "count" > 0
+        """,
         "summary_stats": """
             select round(avg(l_quantity), 6) as mean, round(median(l_quantity), 6) as median,
                 (select l_quantity from lineitem group by l_quantity order by count(*) desc, l_quantity limit 1) as mode,

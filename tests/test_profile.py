@@ -1,9 +1,12 @@
 import math
+import random
 import statistics
+from collections import Counter
 
 import pytest
 
 from sievework.operators import profile
+from sievework.operators.phrases import word_phrases
 
 VALUES = [1.0, 2.0, 2.0, 3.0, 4.5, 7.0, 7.5, 8.0, 40.0]
 
@@ -64,3 +67,55 @@ def test_summary(numbers):
     row = profile.get_summary_stats(numbers, "v").first()
     assert row.mean == pytest.approx(statistics.mean(VALUES)) and row.median == statistics.median(VALUES)
     assert row.mode == 2.0 and row.stdev == pytest.approx(statistics.stdev(VALUES))
+
+
+def plain_phrases(texts, threshold, stops):
+    """Over lists of words of each text."""
+
+    def folded(counts):
+        form = {w: w[:-1] if w.endswith("s") and not w.endswith("ss") and w[:-1] in counts else w for w in counts}
+        out = Counter()
+        for w, n in counts.items():
+            out[form[w]] += n
+        return out, form
+
+    def ratio(c, c1, c2, n):
+        if n <= c1 or n <= c2:
+            return 0.0
+        likely = lambda k, m, x: math.log(max(x, 1e-10)) * k + math.log(max(1 - x, 1e-10)) * (m - k)
+        p, p1, p2 = c2 / n, c / c1, (c2 - c) / (n - c1)
+        return -2 * (likely(c, c1, p) + likely(c2 - c, n - c1, p) - likely(c, c1, p1) - likely(c2 - c, n - c1, p2))
+
+    words, form = folded(Counter(w for t in texts for w in t if w not in stops))
+    pairs, _ = folded(Counter(f"{a} {b}" for t in texts for a, b in zip(t, t[1:]) if a not in stops and b not in stops))
+    total, left = sum(words.values()), Counter(words)
+    for pair, n in pairs.items():
+        a, b = (form[w] for w in pair.split(" "))
+        if ratio(n, words[a], words[b], total) > threshold:
+            left[a] -= n
+            left[b] -= n
+            left[pair] = n
+    return {w: n for w, n in left.items() if n > 0}
+
+
+@pytest.mark.parametrize("threshold", [0.5, 30.0])
+def test_phrases(spark, threshold):
+    rng = random.Random(5)
+    vocabulary = "car cars red blue glass glas boss the of new york yorks bus x2 été".split()
+    texts = []
+    for _ in range(120):
+        text = [rng.choice(vocabulary) for _ in range(rng.randrange(12))]
+        if rng.random() < 0.5:
+            text += rng.choice([["new", "york"], ["red", "cars"], ["red", "car"]])
+        texts.append(text)
+    texts += [[], ["york"], ["new"]]
+    rows = [(" ".join(t[:3]) + " 42 " + " ".join(t[3:]).upper(),) for t in texts] + [(None,)]
+    got = {r.word: r["count"] for r in word_phrases(spark.createDataFrame(rows, "v string"), "v", threshold, ["the", "of"]).collect()}
+    assert got == plain_phrases(texts, threshold, {"the", "of"})
+    assert any(" " in w for w in got) and "cars" not in got
+
+
+def test_phrases_of_nothing(spark):
+    assert word_phrases(spark.createDataFrame([(None,), ("",)], "v string"), "v").collect() == []
+    top = profile.make_word_cloud(spark.createDataFrame([("big cats big cats",)] * 40 + [("dog xy",)] * 90, "v string"), "v", 2, phrases=True)
+    assert len(top.collect()) == 2 and "big cats" in {r.word for r in word_phrases(spark.createDataFrame([("big cats",)] * 40 + [("dog",)] * 90, "v string"), "v").collect()}
