@@ -390,6 +390,11 @@ def nb_predict(spark, folder):
     return nb_predictions(spark, folder).select("id", "prediction", rounded("score").alias("score"))
 
 
+def score_intervals(spark, folder):
+    limits = metrics.score_intervals(staged(nb_predictions(spark, folder).select("id", "label", "prediction")), "id", hashed_by=portable_hash)
+    return limits.select("metric", *[rounded(c).alias(c) for c in ("value", "low", "high")])
+
+
 def nb_confusion(spark, folder):
     return metrics.confusion(nb_predictions(spark, folder))
 
@@ -673,6 +678,7 @@ def queries() -> dict[str, Query]:
         "top_categories": top_category_counts,
         "word_counts": word_counts,
         "word_phrases": word_phrases,
+        "score_intervals": score_intervals,
         "summary_stats": summary_stats,
         "quantiles": price_quantiles,
         "arff_body": arff_body,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from sievework.functions.stem import (
     ABOVE_ONE, DOUBLE_END, EXACTLY_ONE, HAS_VOWEL, IRREGULAR, POSITIVE, SHORT_END, STEP_2, STEP_3, STEP_4,
 )
@@ -228,6 +230,9 @@ def nearest(labels: str) -> str:
     """
 
 
+#: Where the number of a Poisson draw of mean 1 grows by one, in steps of 2 ** -30.
+POISSON_STEPS = [math.floor(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) * (1 << 30)) for k in range(13)]
+
 SPLIT_LABELS = f"""
     hashed as (select doc_id as id, source as label, {hashed(42, 'doc_id')} as h from ({ASCII_DOCS})),
     split as (
@@ -567,6 +572,30 @@ def oracle_sql() -> dict[str, str]:
                 round(sum(f1 * support) / sum(support), 6) as f1
             from per_class
         """,
+        "score_intervals": NB + f"""
+            , weighed as (
+                select r, label, prediction, case when r < 0 then 1 else len(list_filter({POISSON_STEPS}, lambda s:
+                    ('0x' || left(md5(concat_ws('|', '42', r, id)), 15))::bigint % 1073741824 >= s)) end as w
+                from predicted, (select unnest(range(-1, 100)) as r)
+            ),
+            resampled as (select r, label, prediction, sum(w) as n from weighed group by all),
+            by_class as (
+                select r, class, sum(hits) as hits, sum(support) as support, sum(guessed) as guessed from (
+                    select r, label as class, case when label = prediction then n else 0 end as hits, n as support, 0 as guessed from resampled
+                    union all select r, prediction, 0, 0, n from resampled)
+                group by r, class
+            ),
+            by_replicate as (
+                select r, sum(hits) / sum(support) as accuracy,
+                       sum(case when support + guessed > 0 then 2 * hits / (support + guessed) * support else 0 end) / sum(support) as f1
+                from by_class group by r
+            ),
+            listed as (select r, 'accuracy' as metric, accuracy as score from by_replicate union all select r, 'f1', f1 from by_replicate)
+            select metric, round(max(score) filter (where r < 0), 6) + 0.0 as value,
+                   round(quantile_cont(score, 0.025) filter (where r >= 0), 6) + 0.0 as low,
+                   round(quantile_cont(score, 0.975) filter (where r >= 0), 6) + 0.0 as high
+            from listed group by metric
+        """,
         "majority_baseline": """
             select quality as label, round(count(*) / (select count(*) from labels)::double, 6) as share
             from labels group by quality order by count(*) desc, quality limit 1

@@ -163,3 +163,27 @@ def test_neighbour_information_is_that_of_the_documents(spark, neighbours):
 def test_neighbour_information_of_no_documents(spark):
     counts = spark.createDataFrame([(1, "a", 2)], "id int, term string, cnt int")
     assert neighbour_information(counts, spark.createDataFrame([(1, "x")], "id int, label string")).collect() == []
+
+
+def test_poisson_weights_have_the_moments_of_their_law(spark):
+    weights = spark.range(200_000).select(metrics.poisson_weight(F.xxhash64("id")).alias("w"))
+    mean, variance, none = weights.agg(F.avg("w"), F.var_samp("w"), F.avg((F.col("w") == 0).cast("int"))).first()
+    assert mean == pytest.approx(1, abs=0.01) and variance == pytest.approx(1, abs=0.02) and none == pytest.approx(math.exp(-1), abs=0.005)
+
+
+def test_score_intervals(spark):
+    rng = random.Random(3)
+    rows = [(i, (label := rng.choice("aab")), label if rng.random() < 0.8 else rng.choice("abc")) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id int, label string, prediction string")
+    found = {r.metric: r for r in metrics.score_intervals(df, "id").collect()}
+    plain = metrics.accuracy_and_f1(df).first()
+    right = plain.accuracy
+    assert found["accuracy"].value == pytest.approx(right) and found["f1"].value == pytest.approx(plain.f1)
+    half = 1.96 * math.sqrt(right * (1 - right) / len(rows))  # of the normal approximation
+    for side, at in (("low", right - half), ("high", right + half)):
+        assert found["accuracy"][side] == pytest.approx(at, abs=half / 2)
+    assert found["f1"].low < plain.f1 < found["f1"].high
+    assert sorted(map(tuple, metrics.score_intervals(df.repartition(7), "id").collect())) == sorted(map(tuple, found.values()))
+    sure = metrics.score_intervals(df.withColumn("prediction", F.col("label")), "id", replicates=5).collect()
+    assert all(r.value == r.low == r.high == 1 for r in sure)
+    assert metrics.score_intervals(df.limit(0), "id").collect() == []
