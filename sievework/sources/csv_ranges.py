@@ -201,7 +201,7 @@ def line_records(lines: DataFrame, separator: str = ",", header: bool = True) ->
     met = opened.groupBy("file", "chain").agg(F.bool_or("first").alias("first"), F.array_join(F.transform(pieces, lambda p: p["text"]), "\n").alias("record"))
     met = met.unionByName(edges.where(F.col("kind") == WHOLE).select("file", F.lit(0).alias("chain"), "first", F.col("record").cast("string").alias("record")))
     firsts = met.where("first").select(F.regexp_replace("record", "^\ufeff|\r$", "").alias("record")).distinct()
-    if header and firsts.limit(2).count() > 1:
+    if header and len(firsts.limit(2).collect()) > 1:
         raise ValueError("the files have different headers")
     records = _split(lines, inside, separator, False, header).select(plain("record"))
     return records.unionByName(met.where("not first").select(plain("record"))).where("record <> ''")
