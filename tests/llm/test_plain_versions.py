@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 
 import brute  # noqa: E402
-from sievework.llm import bpe, decontaminate, html_text, induced_sort, line_dedup, ngram_join, pii, quality_rules, secret_scan, suffix_dedup, token_store  # noqa: E402
+from sievework.llm import bpe, decontaminate, html_text, induced_sort, line_dedup, ngram_join, pii, quality_rules, secret_scan, suffix_dedup, token_store, words  # noqa: E402
+from sievework.session import staged  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -92,15 +93,36 @@ def test_op2_a_place_holds_two_tiles_and_a_pair_is_named_once(spark, monkeypatch
     counts = bytes([1] * 40 + [0] * (ngram_join.GROUPS - 40))
     blocks = spark.createDataFrame([(k, 0, i, 40, i) for k in keys for i in range(nodes)], "key bigint, hub bigint, node bigint, n bigint, comp bigint")
     points = spark.createDataFrame([(i, bytearray(counts)) for i in range(nodes)], "node bigint, counts binary")
-    frame, met, named = type(blocks), [], []
-    dealt, distinct = frame.repartition, frame.distinct
-    monkeypatch.setattr(frame, "repartition", lambda self, *by: met.append(self.groupBy(*by).count().agg(F.max("count")).first()[0]) or dealt(self, *by))
-    monkeypatch.setattr(frame, "distinct", lambda self: named.append(self.collect()) or distinct(self))
-    found = {tuple(r) for r in ngram_join._candidates(blocks, points).collect()}
-    pairs = {(i, j) for j in range(nodes) for i in range(j)}
-    assert found == pairs
-    assert met[-1] <= 2 * ngram_join.TILE
-    assert len(named[-1]) == len(pairs)
+    tiles = ngram_join._tiles(blocks, points)
+    assert tiles.groupBy(*ngram_join._PLACE).count().agg(F.max("count")).first()[0] <= 2 * ngram_join.TILE
+    table_ = tiles.sort(*ngram_join._PLACE).toArrow().combine_chunks().to_batches()[0]
+    node = table_.column("node").to_pylist()
+    a, b = ngram_join._near_pairs(table_, ngram_join._points(table_.column("counts")))
+    named = [tuple(sorted((node[i], node[j]))) for i, j in zip(a, b)]
+    assert sorted(named) == [(i, j) for i in range(nodes) for j in range(i + 1, nodes)]
+    assert {r["node"] for r in ngram_join._screened(tiles).collect()} == set(range(nodes))
+
+
+@pytest.mark.parametrize("tile", [32, 8, 2])
+def test_op2_a_place_gives_a_forest_of_links(spark, monkeypatch, tile):
+    """A chain of sets, each linked with its neighbours, in three blocks and in rows of a few shingles."""
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    nodes, size = 24, 100
+    sets = [np.sort(words.mix(np.arange(5 * i, 5 * i + size, dtype=np.uint64))) for i in range(nodes)]
+    linked = {(i, j) for i in range(nodes) for j in range(i + 1, nodes) if 100 * (size - 5 * (j - i)) >= 75 * (size + 5 * (j - i))}
+    blocks = spark.createDataFrame([(k, i, size, i) for k in range(3) for i in range(nodes)], "key bigint, node bigint, n bigint, comp bigint")
+    counts = [np.bincount((s >> np.uint64(40)) % np.uint64(ngram_join.GROUPS), minlength=ngram_join.GROUPS).astype(np.uint8) for s in sets]
+    points = spark.createDataFrame([(i, bytearray(c.tobytes())) for i, c in enumerate(counts)], "node bigint, counts binary")
+    parts = [(i, p, bytearray(s[7 * p : 7 * p + 7].tobytes())) for i, s in enumerate(sets) for p in range(-(-size // 7))]
+    places = staged(ngram_join._gathered(staged(ngram_join._screened(ngram_join._tiles(blocks, points)))))
+    most = places.groupBy(*ngram_join._PLACE).count().agg(F.max("count")).first()[0]
+    assert places.count() == nodes if tile == 32 else most < 24  # one place where a clump fits, else pairs of tiles
+    found = [tuple(sorted(r)) for r in ngram_join._linked(places, spark.createDataFrame(parts, "node bigint, part int, shingles binary")).collect()]
+    assert set(found) <= linked and (tile < 32 or len(found) == nodes - 1)
+    reached = {0}
+    for _ in range(nodes):
+        reached |= {x for pair in found if reached & set(pair) for x in pair}
+    assert reached == set(range(nodes))
 
 
 def test_op2_tree_gives_every_pair_within_its_bound():
