@@ -38,6 +38,8 @@ WIDTH = PATH + TAG + WORDS + MEASURES
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style head title noscript template svg math iframe object canvas select textarea button option datalist audio video".split())
+RAW = frozenset("script style title textarea".split())
+IN_HEAD = frozenset("base basefont bgsound html link meta noframes noscript script style template title".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 CONTENT = frozenset("article main".split())
 CHROME = frozenset(
@@ -46,7 +48,7 @@ CHROME = frozenset(
     "sponsored subscribe toolbar widget".split()
 )
 
-_PARTS = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+_PARTS = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 
@@ -105,11 +107,13 @@ def blocks_of(page: str | None) -> list[Block]:
             total += size
             linked += size * (in_link > 0)
 
-    at, silent = 0, None
+    # Silent elements that are open, and what is open inside them; an end tag of an
+    # element around them ends them all, and so does a tag that a head cannot hold.
+    at, silent, inside = 0, [], {}
     opened: dict[str, int] = {}
     while at < len(page):
         found = _PARTS.search(page, at)
-        if silent is None:
+        if not silent:
             add(page[at : found.start() if found else len(page)])
         if not found:
             break
@@ -117,20 +121,31 @@ def blocks_of(page: str | None) -> list[Block]:
         closing, tag = found[1], (found[2] or "").lower()
         if not tag:
             continue
-        if silent is not None:
-            if closing and tag == silent:
-                silent = None
-            elif tag == "body":
-                silent = None
-            else:
+        if tag in RAW:
+            if not closing:
+                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                at = end.end() if end else len(page)
+            continue
+        if silent:
+            if closing and tag in silent:
+                while silent.pop() != tag:
+                    pass
+                inside.clear()
+                continue
+            if closing and inside.get(tag):
+                inside[tag] -= 1
+                continue
+            if not ((closing and opened.get(tag)) or tag == "body" or (not closing and silent[-1] == "head" and tag not in IN_HEAD)):
+                if not closing and tag in SILENT:
+                    silent.append(tag)
+                elif not closing and tag not in VOID:
+                    inside[tag] = inside.get(tag, 0) + 1
                 continue
+            silent.clear()
+            inside.clear()
         if tag in SILENT:
             if not closing:
-                if tag in ("script", "style", "title", "textarea"):
-                    end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                    at = end.end() if end else len(page)
-                else:
-                    silent = tag
+                silent.append(tag)
             continue
         if tag == "a":
             in_link = 0 if closing else 1

@@ -104,3 +104,19 @@ def test_registry_names_each_operator():
     names = registry.queries()
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
     assert set(registry.oracle_sql()) <= set(names)
+
+
+@pytest.mark.parametrize(
+    ("page", "blocks"),
+    [
+        ("<p title=don't>one</p><p>it's two</p>", ["one", "it's two"]),
+        ("<p title='a>b' class = \"c'>d\">one</p>", ["one"]),
+        ("<html><head><title>t</title><script>w('<div>')</script><meta name=a><p>one</p>", ["one"]),
+        ("<head><noscript><link href=a><img src=b></noscript><meta name=c></head><p>one</p>", ["one"]),
+        ("<div><p>one</p><button>go</div><p>two</p>", ["one", "two"]),
+        ("<div><canvas><div>old</div>x</canvas><p>one</p></div>", ["one"]),
+        ("<form><select><option>a<option>b</select>one</form><p>two", ["one", "two"]),
+    ],
+)
+def test_op7_broken_markup_loses_no_text(page, blocks):
+    assert [b.text for b in html_text.blocks_of(page)] == blocks
