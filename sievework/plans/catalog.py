@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.numbers import nonnull_count, portable_hash, repair_short_year
 from sievework.functions.text import is_ascii, quoted_tokens, split_parts
-from sievework.operators import filters, joins, metrics, naive_bayes, one_vs_rest, phrases, profile, sampling, terms
+from sievework.operators import filters, joins, lemmas, metrics, naive_bayes, one_vs_rest, phrases, profile, sampling, terms, trees
 from sievework.operators.categories import count_categories, top_categories
 from sievework.operators.missing import blank_sentinels
 from sievework.operators.mutual_information import mutual_information, select_terms
@@ -325,6 +325,19 @@ def lemma_counts(spark, folder):
     return terms.map_terms(counts, lemmas)
 
 
+def lemmatised(part: str) -> Query:
+    """Counts by dictionary form; the dictionary holds the words of several documents, words in -en are made exceptions."""
+
+    def run(spark, folder):
+        counts = staged(raw_counts(spark, folder))
+        dictionary = counts.groupBy(F.col("term").alias("form")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+        cut = F.left("term", F.length("term") - 2)
+        exceptions = counts.select("term").distinct().where(F.col("term").endswith("en")).select("term", cut.alias("mapped"))
+        return lemmas.lemmatise(counts, dictionary, exceptions, part)
+
+    return run
+
+
 def rare_term_prune(spark, folder):
     return terms.prune_rare_terms(staged(raw_counts(spark, folder)))
 
@@ -447,6 +460,40 @@ def soft_vote(spark, folder):
     return models.soft_vote(train).transform(test).select("id", "label", "prediction", "probability")
 
 
+def quality_rows(spark, folder):
+    """Term counts of the labelled documents as sparse rows, and how many terms there are."""
+    counts = staged(raw_counts(spark, folder))
+    documents = quality_labels(spark, folder).where(F.col("label").isNotNull())
+    numbered = models.number_terms(joins.lookup_join(counts, documents.select("id"), "id", "left_semi"))
+    return trees.sparse_rows(documents.withColumn("label_index", F.col("label").cast("int")), counts, numbered), numbered
+
+
+def tree_root_splits(spark, folder):
+    """The first split of a tree by either impurity, found over all tasks whatever the size."""
+    rows, numbered = quality_rows(spark, folder)
+    kinds = {0: "gini", 1: "entropy"}
+    nodes = trees.grow(rows, [trees.Tree(n, i, depths=(1,)) for n, i in kinds.items()], 2, numbered.count(), task_doubles=0).nodes
+    root = nodes.where((F.col("depth") == 0) & F.col("number").isNotNull())
+    left = nodes.select("tree", F.col("node").alias("left"), (F.col("counts")[0] + F.col("counts")[1]).alias("below"))
+    split = root.join(left, ["tree", "left"]).join(numbered, "number")
+    return split.select(F.when(F.col("tree") == 0, "gini").otherwise("entropy").alias("impurity"), "term", "threshold", "below")
+
+
+def tree_grid_results(spark, folder):
+    """Every point of the tree grid, each with its score in every fold."""
+    rows, numbered = quality_rows(spark, folder)
+    points = {"impurity": ["entropy", "gini"], "features": ["sqrt", "log2"], "depth": [5, 10, 15]}
+    return trees.grid_results(rows, points, 2, numbered.count())
+
+
+def deep_forest(spark, folder):
+    """Held-out documents as told by trees that grow until their leaves are pure."""
+    rows, numbered = quality_rows(spark, folder)
+    rows = sampling.train_test_split(rows, "id")
+    told = trees.forest(rows.withColumn("label_index", F.when(~F.col("is_test"), F.col("label_index"))), 2, numbered.count(), models.FOREST_TREES)
+    return told.join(rows.select("id", "label"), "id").select("id", "label", "prediction", "probability")
+
+
 def ovr_optimum(spark, folder):
     """The gradient at the fitted one-vs-rest weights, from term counts: zero at the best weights, as each class's problem is convex."""
     prepared = quality_experiment(spark, folder).prepare(spark)
@@ -651,6 +698,8 @@ def queries() -> dict[str, Query]:
         "stem_vocabulary": stem_vocabulary,
         "stemmed_counts": stemmed_counts,
         "lemma_counts": lemma_counts,
+        "lemmatised_nouns": lemmatised("noun"),
+        "lemmatised_verbs": lemmatised("verb"),
         "term_totals": term_totals,
         "rare_term_prune": rare_term_prune,
         "bag_join_label": bag_join_label,
@@ -669,6 +718,9 @@ def queries() -> dict[str, Query]:
         "dt_grid": grid(models.decision_tree, models.TREE_GRID),
         "rf_grid": grid(models.random_forest, models.FOREST_GRID),
         "soft_vote": soft_vote,
+        "tree_root_splits": tree_root_splits,
+        "tree_grid_results": tree_grid_results,
+        "deep_forest": deep_forest,
         "ovr_optimum": ovr_optimum,
         "experiment_scores": experiment_scores,
         "kde_curve": kde_curve,

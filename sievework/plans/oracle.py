@@ -8,6 +8,7 @@ from sievework.functions.stem import (
     ABOVE_ONE, DOUBLE_END, EXACTLY_ONE, HAS_VOWEL, IRREGULAR, POSITIVE, SHORT_END, STEP_2, STEP_3, STEP_4,
 )
 from sievework.functions.text import CLOUD_PATTERN, ENGLISH_STOP_WORDS, WORD_PATTERN
+from sievework.operators.lemmas import DETACHMENTS
 
 
 def quoted(text: str) -> str:
@@ -158,6 +159,39 @@ def stems(vocabulary: str) -> str:
     return ", ".join(parts)
 
 
+def lemmatised(part: str) -> str:
+    """Counts by dictionary form, every form of every word tried."""
+    forms = ", ".join(
+        f"case when suffix(form, '{old}') then left(form, length(form) - {len(old)}) || '{new}' end"
+        for old, new in DETACHMENTS[part]
+    )
+    return f"""
+        with recursive {COUNTS},
+        vocabulary as (select distinct term from counts),
+        dictionary as (select term as form from counts group by term having count(*) > 1),
+        shorter(term, round, form) as (
+            select term, 0, term from vocabulary where not suffix(term, 'en')
+            union all
+            select term, round + 1, new from (
+                select term, round, unnest([{forms}]) as new from shorter where round < 3)
+            where new is not null
+        ),
+        tried as (
+            select term, greatest(round, 1) as round, form from shorter
+            union all
+            select term, 0, unnest([term, left(term, length(term) - 2)]) from vocabulary where suffix(term, 'en')
+        ),
+        ranked as (
+            select term, form, row_number() over (
+                partition by term order by round, length(form), (form <> term)::int, form) as place
+            from tried where form in (select form from dictionary)
+        )
+        select id, coalesce(form, c.term) as term, sum(cnt)::bigint as cnt
+        from counts c left join ranked r on r.term = c.term and place = 1
+        group by all
+    """
+
+
 def information(labels: str) -> str:
     """CTEs ending in ``scores (term, mi)`` by brute force over every count, 0 included."""
     return f"""
@@ -192,6 +226,23 @@ def psi(n: str) -> str:
         else ln(({n})::double) - {x} / 2 - {x} ** 2 / 12 + {x} ** 4 / 120 - {x} ** 6 / 252 + {x} ** 8 / 240 end)"""
 
 
+def root_split(impurity: str) -> str:
+    """The best first split of the counts of ``kept`` by 0/1 labels, over every cut of every term."""
+    def side(ones: str, both: str) -> str:
+        if impurity == "gini":
+            return f"(({ones}) ** 2 + ({both} - ({ones})) ** 2) / {both}"
+        part = lambda n: f"(case when {n} > 0 then {n} * log2(greatest({n}, 1)) else 0 end)"
+        return f"({part(f'({ones})')} + {part(f'({both} - ({ones}))')} - {part(both)})"
+
+    return f"""
+        select '{impurity}' as impurity, term, (low + cnt) / 2.0::double as threshold, below
+        from cuts, whole
+        where below > 0 and below < n
+        order by round(({side("ones", "below::double")} + {side("whole.p - ones", "(n - below)::double")}) / n, 9) desc, term, threshold
+        limit 1
+    """
+
+
 def nearest(labels: str) -> str:
     """CTEs ending in ``scores (term, mi)``: every cell against every cell of its term, count 0 included."""
     return f"""
@@ -522,6 +573,8 @@ def oracle_sql() -> dict[str, str]:
         "term_counts": f"with {COUNTS} select * from counts",
         "stem_vocabulary": f"with {COUNTS}, {stems('counts')} select * from stems",
         "stemmed_counts": stemmed,
+        "lemmatised_nouns": lemmatised("noun"),
+        "lemmatised_verbs": lemmatised("verb"),
         "lemma_counts": f"""
             with {COUNTS}
             select id, case when ends_with(term, 's') then left(term, length(term) - 1) else term end as term,
@@ -546,6 +599,23 @@ def oracle_sql() -> dict[str, str]:
             select term, round(mi, 8) + 0.0 as mi from (
                 select * from scores order by round(mi, 12) desc, term limit 200)
         """,
+        "tree_root_splits": f"""
+            with {COUNTS}, labels_of as (select * from ({quality}) where label is not null),
+            whole as (select count(*) as n, sum(label)::double as p from labels_of),
+            kept as (select term, cnt, count(*) as n, sum(label) as p from counts join labels_of using (id) group by term, cnt),
+            sides as (
+                select term, cnt, coalesce(lag(cnt) over up, 0) as low, sum(n) over (partition by term) as held,
+                    sum(p) over (partition by term) as held_p,
+                    coalesce(sum(n) over (up rows between unbounded preceding and 1 preceding), 0) as under,
+                    coalesce(sum(p) over (up rows between unbounded preceding and 1 preceding), 0) as under_p
+                from kept window up as (partition by term order by cnt)
+            ),
+            cuts as (
+                select term, cnt, low, (whole.n - held + under)::bigint as below, (whole.p - held_p + under_p)::double as ones
+                from sides, whole
+            )
+            select * from ({root_split("gini")}) union all select * from ({root_split("entropy")})
+        """,
         "neighbour_information": f"""
             with {COUNTS}, {nearest(quality)}
             select term, round(mi, 8) + 0.0 as mi from scores
