@@ -217,11 +217,21 @@ def union_chunks(spark, folder):
     return files.union_chunks([documents.where(chunk == i) for i in range(4)])
 
 
+#: Text bytes of a landed CSV file, about; a task that writes one reads as many.
+LANDED_BYTES = 64 << 20
+
+
+def landed(df: DataFrame, text_col: str, path: str) -> None:
+    """Rows written as CSV files, four at least and as many as their text needs; rows of one key may lie in several."""
+    (size,) = df.agg(F.sum(F.octet_length(text_col))).first()
+    writer = df.repartition(max(4, (size or 0) // LANDED_BYTES)).write.option("header", True).option("quote", '"').option("escape", '"')
+    writer.option("quoteAll", True).csv(path)
+
+
 def land_csv(spark, folder) -> str:
     """Documents written as CSV files into a fresh folder."""
     base = scratch_path(spark, "csv-ingest")
-    landing = table(spark, folder, "documents").repartition(4, "doc_id").write.option("header", True)
-    landing.option("quote", '"').option("escape", '"').option("quoteAll", True).csv(f"{base}/landing")
+    landed(table(spark, folder, "documents"), "text", f"{base}/landing")
     return base
 
 
@@ -251,11 +261,11 @@ def csv_ingest(spark, folder):
 
 
 def csv_ranges_ingest(spark, folder):
-    """Documents landed as few CSV files with line breaks in quotes, parsed by byte ranges, some hundred in all."""
+    """Documents landed as few CSV files with line breaks in quotes, parsed by byte ranges, some hundred or as many as 64 MB each need."""
     base = land_csv(spark, folder)
     (size,) = table(spark, folder, "documents").agg(F.sum(F.octet_length("text"))).first()
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", max(1 << 16, (size or 0) // 200))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(min(LANDED_BYTES, max(1 << 16, (size or 0) // 200))))
     try:
         columns = {"doc_id": "bigint", "text": "string", "source": "string", "n_chars": "bigint"}
         parsed = staged(files.scan_csv(spark, f"{base}/landing", columns), "csv-parsed")
@@ -271,8 +281,7 @@ def ingest_music(spark, folder):
         F.col("source").alias("title"), F.lit("pop").alias("tag"), F.lit("a, b").alias("artist"), F.lit("1999.0").alias("year"),
         F.col("n_chars").alias("views"), F.lit("{}").alias("features"), F.col("text").alias("lyrics"), F.col("doc_id").alias("id"), F.col("lang").alias("language_cld3"),
     )
-    writer = songs.repartition(4, "id").write.option("header", True).option("quote", '"').option("escape", '"')
-    writer.option("quoteAll", True).csv(f"{base}/landing")
+    landed(songs, "lyrics", f"{base}/landing")
     ingest.ingest_music(spark, f"{base}/landing", f"{base}/metadata", f"{base}/text")
     joined = files.scan_parquet(spark, f"{base}/metadata").join(files.scan_parquet(spark, f"{base}/text"), "id")
     return joined.select("id", "title", "year", "views", F.md5("lyrics").alias("digest"))
@@ -284,8 +293,7 @@ def ingest_movies(spark, folder):
     own = {"id": F.col("doc_id"), "title": F.col("source"), "original_language": F.col("lang"), "overview": F.col("text"), "vote_count": F.col("n_chars")}
     filler = {"string": F.lit("x"), "bigint": F.lit(1), "double": F.lit("2.5")}
     movies = table(spark, folder, "documents").select(*[own.get(c, filler[k]).alias(c) for c, k in ingest.MOVIE_COLUMNS.items()])
-    writer = movies.repartition(4, "id").write.option("header", True).option("quote", '"').option("escape", '"')
-    writer.option("quoteAll", True).csv(f"{base}/landing")
+    landed(movies, "overview", f"{base}/landing")
     ingest.ingest_movies(spark, f"{base}/landing", f"{base}/metadata", f"{base}/text")
     joined = files.scan_parquet(spark, f"{base}/metadata").join(files.scan_parquet(spark, f"{base}/text"), "id")
     return joined.select("id", "title", "vote_count", "popularity", F.md5("overview").alias("digest"))
