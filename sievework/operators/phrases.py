@@ -42,14 +42,12 @@ def likelihood_ratio(both: Column, first: Column, second: Column, total: Column)
     return F.when((total > first) & (total > second), ratio * -2.0).otherwise(0.0)
 
 
-def fold_plurals(counts: DataFrame, column: str = "word") -> DataFrame:
-    """``word, form``: each counted word or phrase and the one it counts as."""
-    word = F.col(column)
-    plural = counts.where(word.endswith("s") & ~word.endswith("ss")).select(word.alias("word"), F.substring(word, F.lit(1), F.length(word) - 1).alias("form"))
-    known = plural.join(counts.select(word.alias("form")), "form", "left_semi")
-    return counts.select(word.alias("word")).join(known.select("word", F.col("form").alias("single")), "word", "left").select(
-        "word", F.coalesce("single", "word").alias("form")
-    )
+def fold_plurals(counts: DataFrame) -> DataFrame:
+    """``counts`` with ``form``: the word or phrase that each one counts as."""
+    word = F.col("word")
+    plural = counts.where(word.endswith("s") & ~word.endswith("ss")).select("word", F.substring(word, F.lit(1), F.length(word) - 1).alias("single"))
+    known = plural.join(counts.select(word.alias("single")), "single", "left_semi")
+    return counts.join(known, "word", "left").withColumn("form", F.coalesce("single", "word")).drop("single")
 
 
 def word_phrases(
@@ -68,19 +66,20 @@ def word_phrases(
     counts = staged(cells.groupBy("first", "second").agg(F.count(F.lit(1)).alias("n")), "phrases")
     words = counts.where("second is null").select(F.col("first").alias("word"), "n")
     both = counts.where("second is not null")
-    forms = staged(fold_plurals(words) if plurals else words.select("word", F.col("word").alias("form")), "forms")
-    folded = words.join(forms, "word").groupBy("form").agg(F.sum("n").alias("n"))
-    folded = staged(folded, "folded")
+    forms = staged(fold_plurals(words) if plurals else words.withColumn("form", F.col("word")), "forms")
+    folded = staged(forms.groupBy("form").agg(F.sum("n").alias("n")), "folded")
+    forms = forms.select("word", "form")
     phrases = both.withColumn("word", F.concat_ws(" ", "first", "second"))
     if plurals:
-        named = phrases.join(fold_plurals(phrases), "word")
         parts = F.split("form", " ")
-        phrases = named.groupBy("form").agg(F.sum("n").alias("n")).select(F.col("form").alias("word"), parts[0].alias("first"), parts[1].alias("second"), "n")
+        phrases = fold_plurals(phrases).groupBy("form").agg(F.sum("n").alias("n")).select(F.col("form").alias("word"), parts[0].alias("first"), parts[1].alias("second"), "n")
     total = folded.agg(F.sum("n")).first()[0] or 0
     side = lambda name: lookup_join(forms, folded, "form", settled=True).select(
         F.col("word").alias(name), F.col("form").alias(f"{name}_form"), F.col("n").alias(f"{name}_n")
     )
-    scored = lookup_join(lookup_join(phrases, side("first"), "first"), side("second"), "second")
+    # a lookup reads its rows several times, so they are computed once before
+    scored = staged(lookup_join(staged(phrases, "pairs"), side("first"), "first"), "half")
+    scored = lookup_join(scored, side("second"), "second")
     ratio = likelihood_ratio(F.col("n"), F.col("first_n"), F.col("second_n"), F.lit(total))
     kept = staged(scored.where(ratio > threshold).select("word", "first_form", "second_form", "n"), "kept")
     taken = kept.select(F.explode(F.array("first_form", "second_form")).alias("form"), "n").groupBy("form").agg(F.sum("n").alias("taken"))

@@ -119,3 +119,22 @@ def test_phrases_of_nothing(spark):
     assert word_phrases(spark.createDataFrame([(None,), ("",)], "v string"), "v").collect() == []
     top = profile.make_word_cloud(spark.createDataFrame([("big cats big cats",)] * 40 + [("dog xy",)] * 90, "v string"), "v", 2, phrases=True)
     assert len(top.collect()) == 2 and "big cats" in {r.word for r in word_phrases(spark.createDataFrame([("big cats",)] * 40 + [("dog",)] * 90, "v string"), "v").collect()}
+
+
+def test_phrases_are_joined_once_where_the_words_are_too_many_to_broadcast(spark, monkeypatch):
+    from sievework.operators import joins, phrases
+
+    rows = [("big cats and big cat dog", )] * 40 + [("dog of the small dogs", )] * 50 + [(None,), ("",)]
+    texts = spark.createDataFrame(rows, "v string")
+    expected = sorted(word_phrases(texts, "v").collect())
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    read, lookup = [], phrases.lookup_join
+
+    def watched(df, *args, **kwargs):
+        read.append(df._jdf.queryExecution().executedPlan().toString())
+        return lookup(df, *args, **kwargs)
+
+    monkeypatch.setattr(phrases, "lookup_join", watched)
+    assert sorted(word_phrases(texts, "v").collect()) == expected
+    # the rows that a lookup reads several times come from a file, not from joins
+    assert all("Join" not in plan and "Aggregate" not in plan for plan in read[-2:])
