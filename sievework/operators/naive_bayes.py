@@ -29,7 +29,7 @@ def fit(counts: DataFrame, labels: DataFrame, smoothing: float = 1.0) -> NaiveBa
 
     Class priors are plain shares of the labelled documents.
     """
-    labels = settle(labels.select("id", "label"))
+    labels = staged(labels.select("id", "label"), "labels")
     labelled = lookup_join(counts, labels, "id", settled=True)
     pairs = staged(labelled.groupBy("term", "label").agg(F.sum("cnt").alias("n")), "pairs")
     size = pairs.agg(F.count_distinct("term")).scalar()
@@ -57,7 +57,8 @@ def scores(model: NaiveBayesTables, counts: DataFrame, documents: DataFrame) ->
     class priors. The table of classes is one small row, attached as a scalar.
     """
     ids = documents.select("id")
-    known = lookup_join(lookup_join(counts, ids, "id", "left_semi"), model.weights, "term", "inner")
+    known = staged(lookup_join(counts, ids, "id", "left_semi"), "known")
+    known = lookup_join(known, model.weights, "term", "inner")
     # the entry without a label adds up to the document's length
     length_entry = F.struct(F.lit(None).alias("label"), F.lit(1.0).alias("weight"))
     parts = (
