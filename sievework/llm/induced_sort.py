@@ -2,8 +2,9 @@
 
 Suffixes are sorted from a sorted few: the left-most-S suffixes induce the
 larger-first (L) suffixes in an ascending sweep and those the smaller-first (S)
-suffixes in a descending one; the few are sorted by the same routine on a string
-of names, a third as long or less. A sweep is a monotone priority queue of
+suffixes in a descending one; the few are sorted by a string of their names, half as
+long or less: by the same routine, or in memory by doubled prefixes where that
+string is short. A sweep is a monotone priority queue of
 (symbol, suffix) tuples. Its far buckets go to disk when they exceed a budget,
 and tuples are taken in whole batches: as many as cannot be preceded by a tuple
 that they induce themselves.
@@ -20,6 +21,8 @@ from sievework.llm import words as W
 BUCKETS = 512
 LOOK = 1 << 14
 QUEUE_BYTES = 64 << 20
+#: Names that are sorted in memory, a few arrays of 8 bytes each; sweeps over short strings cost more than they move.
+SHORT = 1 << 20
 _NEVER = np.iinfo(np.int64).max
 
 
@@ -127,8 +130,47 @@ def _induce(text, is_s, seeds, budget) -> np.ndarray:
     return _sweep(down[larger] + 1, larger, down, is_s, budget)[::-1]
 
 
-def suffix_order(text: np.ndarray, budget: int = QUEUE_BYTES) -> np.ndarray:
-    """Starts of all suffixes of a sequence of integers >= 0, ascending; a prefix comes before what it is a prefix of."""
+def _doubled(names: np.ndarray) -> np.ndarray:
+    """Order of all suffixes of a string of names below its length, by ranks of prefixes that double in length.
+
+    Only suffixes that share their rank with another one are ranked again.
+    """
+    n, width = len(names), 1
+    rank = names.astype(np.int64)
+    at = np.arange(n)
+    while len(at):
+        behind = at + width
+        following = np.where(behind < n, rank[np.minimum(behind, n - 1)] + 1, 0)
+        key = rank[at] * (n + 1) + following
+        order = np.argsort(key)
+        at, key = at[order], key[order]
+        fresh = np.concatenate(([True], key[1:] != key[:-1]))
+        within = np.cumsum(fresh) - 1
+        starts = np.flatnonzero(fresh)
+        old = rank[at]
+        # ranks of a group are those of its first place on: its old rank and how many of it come before
+        group = np.flatnonzero(np.concatenate(([True], old[1:] != old[:-1])))
+        first = np.repeat(group, np.diff(np.append(group, len(at))))
+        rank[at] = old + starts[within] - first
+        single = np.concatenate((fresh[1:], [True])) & fresh
+        at = at[~single]
+        width *= 2
+    out = np.empty(n, np.int64)
+    out[rank] = np.arange(n)
+    return out
+
+
+def _by_names(names: np.ndarray, budget: int, short: int) -> np.ndarray:
+    if len(names) > short:
+        return suffix_order(names, budget, short)
+    return _doubled((np.cumsum(np.bincount(names)) - np.bincount(names))[names])
+
+
+def suffix_order(text: np.ndarray, budget: int = QUEUE_BYTES, short: int = SHORT) -> np.ndarray:
+    """Starts of all suffixes of a sequence of integers >= 0, ascending; a prefix comes before what it is a prefix of.
+
+    Up to ``short`` names are sorted in memory.
+    """
     text = np.asarray(text, np.int64)
     n = len(text)
     if n < 2:
@@ -148,5 +190,5 @@ def suffix_order(text: np.ndarray, budget: int = QUEUE_BYTES) -> np.ndarray:
         named = np.cumsum(np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (end[1:] - order[1:] != end[:-1] - order[:-1])))) - 1
         names = np.empty(len(few), np.int64)
         names[np.searchsorted(few, order)] = named
-        few = order if named[-1] == len(few) - 1 else few[suffix_order(names, budget)]
+        few = order if named[-1] == len(few) - 1 else few[_by_names(names, budget, short)]
     return _induce(text, is_s, few, budget)

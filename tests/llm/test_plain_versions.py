@@ -349,3 +349,14 @@ def test_op5_short_texts_stand_alone():
     assert probes.matches("yesterday and eyes") == []
     assert [m[0] for m in probes.matches("Yes, say (a)b")] == [1, 2]
     assert [m[0] for m in probes.matches("yesterday: yes")] == [1]
+
+
+def test_names_of_a_short_text_are_sorted_without_sweeps(monkeypatch):
+    sweeps, sweep = [], induced_sort._sweep
+    monkeypatch.setattr(induced_sort, "_sweep", lambda *a: sweeps.append(len(a[2])) or sweep(*a))
+    rng = np.random.default_rng(5)
+    text = np.concatenate([np.tile(rng.integers(0, 4, 9), 300), rng.integers(0, 3, 2_000), np.zeros(500, int)])
+    want = sorted(range(len(text)), key=lambda i: text[i:].tolist())
+    assert induced_sort.suffix_order(text).tolist() == want
+    assert sweeps == [len(text)] * 4  # two to order the few, two from them to all
+    assert induced_sort.suffix_order(text, 1 << 12, short=100).tolist() == want  # recurs, spills and ends in memory
