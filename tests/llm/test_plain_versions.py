@@ -360,3 +360,24 @@ def test_names_of_a_short_text_are_sorted_without_sweeps(monkeypatch):
     assert induced_sort.suffix_order(text).tolist() == want
     assert sweeps == [len(text)] * 4  # two to order the few, two from them to all
     assert induced_sort.suffix_order(text, 1 << 12, short=100).tolist() == want  # recurs, spills and ends in memory
+
+
+def test_op2_sends_keys_once_and_leaves_nothing_behind_that_is_not_read(spark, monkeypatch, tmp_path):
+    rows = noisy_rows(9, 120, [f"w{i}" for i in range(400)], [30, 60], [0, 1, 3]) + [(900, None), (901, "")]
+    paths = []
+
+    def kept(df, name="staged"):
+        paths.append((name, tmp_path / f"{len(paths)}"))
+        df.write.parquet(str(paths[-1][1]))
+        return spark.read.schema(df.schema).parquet(str(paths[-1][1]))
+
+    monkeypatch.setattr(ngram_join, "staged", kept)
+    done = ngram_join.similar_components(table(spark, rows)).collect()
+    expected = brute.shingle_components(rows)
+    assert {r["_doc"]: (r["n"], r["comp"]) for r in done} == expected
+    left = {name for name, path in paths if list(path.glob("*.parquet"))}
+    assert left.isdisjoint({"frequent", "sketches", "blocks", "sets", "likely", "links", "joined", "labelled", "screened", "gathered"})
+    sketch = spark.createDataFrame([(1, 5, [1, 2]), (2, 6, [2, 3]), (3, 5, [1, 2])], "_doc bigint, node bigint, keys array<bigint>")
+    blocks = ngram_join._blocks(sketch)
+    assert blocks._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, blocks.collect())) == [(2, 5, 5), (2, 6, 5)]
